@@ -95,3 +95,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rates = host_rates(judged)
     rated = unhot_join(judged, rates.select("_host", "rate", "n"), "_host", "n", judged.count())
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rate").alias("host_rate"), (~F.col("base_failed") & (F.col("rate") <= MAX_RATE)).alias("kept"))
+
+
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """docs without those that the rules reject, with all columns of docs."""
+    rejected = quality_rules(docs, id_col, text_col, host_col).where(~F.col("kept")).select(F.col("doc_id").alias("_rejected")).distinct()
+    return docs.join(rejected, docs[id_col].eqNullSafe(rejected["_rejected"]), "left_anti")

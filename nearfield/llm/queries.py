@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, quality_rules, sharding
+from . import byte_bpe, packing, quality_model, quality_rules, sharding
 from .exact_dedup import exact_dedup
+from .language_id import language_id
 from .line_dedup import line_dedup
 from .simhash import simhash_dedup
 from .url_filter import judge_urls
@@ -30,6 +31,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -43,6 +48,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), sharding.Tree.of(SHARDS))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,7 +73,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_checksums(pieces)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_simhash_dedup, op4_url_filter, op5_sharding, op7_byte_bpe, op8_exact_dedup, op9_quality_rules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_simhash_dedup, op4_url_filter, op5_sharding, op6_language_id, op7_byte_bpe, op8_exact_dedup, op9_quality_rules, op10_packing)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WS = r"[\x20\x09-\x0D]+"

@@ -120,3 +120,10 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = stash(rooted.select("_print", "_rows", "_root").join(best, "_root").drop("_root"), "simhash-components")
     total = rows.count()
     return unhot_join(rows, found, "_print", "_rows", total).select("doc_id", F.lpad(F.lower(F.hex("_print")), 16, "0").alias("fingerprint"), "component_id", "group_size")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs without all but the smallest doc_id of each component, with all columns of docs."""
+    found = simhash_dedup(docs, id_col, text_col, **how)
+    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped")).distinct()
+    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["_dropped"]), "left_anti")
