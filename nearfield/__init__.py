@@ -1,0 +1 @@
+"""Nearest-neighbour search over vector columns of Spark DataFrames."""
