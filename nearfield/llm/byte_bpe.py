@@ -2,7 +2,7 @@
 
 1. Texts are split into pre-tokens with their positions. A block of documents keeps its texts as sequences of word
    numbers, so what is shuffled is each distinct word of a block, with the block that it goes back to.
-2. Words meet by hash bucket, sorted in each block's list. A task encodes each distinct word of its bucket once.
+2. Words meet by hash bucket. A task encodes each distinct word of its bucket once.
 3. The ids go back to the blocks, where they take the words' positions again.
 
 A block is BLOCK_BYTES of text or one longer text; a bucket has about as many distinct words as others, since a word
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Stash
+from .common import bucketed
 
 BLOCK_BYTES = 4 << 20
 BLOCK_DOCS = 5000
@@ -50,28 +50,61 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
-def _pack(parts: list[bytes]) -> bytes:
-    """Lengths, then the bytes."""
-    import zlib
+def _squeeze(numbers) -> bytes:
+    """Whole numbers below 2^32, of which most are small: all lowest bytes, then all second ones and so on."""
+    import numpy as np
+    import zstandard
+
+    planes = np.ascontiguousarray(np.asarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def _unsqueeze(packed: bytes):
+    import numpy as np
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
 
+def _pack(parts: list[bytes]) -> bytes:
+    """The size of the lengths, the lengths, and the bytes."""
     import numpy as np
+    import zstandard
 
-    return zlib.compress(np.uint32(len(parts)).tobytes() + np.fromiter(map(len, parts), "<u4", len(parts)).tobytes() + b"".join(parts), 1)
+    lengths = _squeeze(np.fromiter(map(len, parts), "<u4", len(parts)))
+    return len(lengths).to_bytes(4, "little") + lengths + zstandard.compress(b"".join(parts), 1)
 
 
 def _unpack(packed: bytes) -> list[bytes]:
-    import zlib
+    import numpy as np
+    import zstandard
 
+    at = 4 + int.from_bytes(packed[:4], "little")
+    ends = np.cumsum(_unsqueeze(packed[4:at]), dtype=np.int64).tolist()
+    raw = zstandard.decompress(packed[at:])
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _pack_ids(ids: list) -> bytes:
+    """Arrays of ids: their lengths as _pack() has them, then all ids."""
+    import numpy as np
+
+    lengths = _squeeze([len(x) for x in ids])
+    return len(lengths).to_bytes(4, "little") + lengths + _squeeze(np.concatenate([np.zeros(0, "<u4"), *ids]))
+
+
+def _unpack_ids(packed: bytes) -> list[bytes]:
+    """Each array as 4 bytes an id."""
     import numpy as np
 
-    raw = zlib.decompress(packed)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    ends = (4 + 4 * n + np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64)).tolist()
-    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]
+    at = 4 + int.from_bytes(packed[:4], "little")
+    ends = (4 * np.cumsum(_unsqueeze(packed[4:at]), dtype=np.int64)).tolist()
+    raw = _unsqueeze(packed[at:]).tobytes()
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def _blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
-    """A row for each block (its documents' rows in `docs`) and for each bucket of words that it has."""
+    """A row for each block, whose words are the buckets of its words in order, and one for each bucket that it has."""
     schema = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("words", T.BinaryType()),
         T.StructField("doc_ids", T.ArrayType(docs.schema[0].dataType)), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("places", T.BinaryType()),
@@ -79,7 +112,7 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
     kind = pa.list_(to_arrow_type(docs.schema[0].dataType))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
+        from zlib import crc32
 
         import numpy as np
         from pyspark import TaskContext
@@ -90,18 +123,18 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
         def block(ids: list, texts: list[str]) -> pa.RecordBatch:
             number: dict[str, int] = {}
             places = [np.fromiter((number.setdefault(w, len(number)) for w in split(t)), np.uint32) for t in texts]
-            # Words are numbered by bucket, then in the order of their bytes.
-            known = sorted((zlib.crc32(b := w.encode()) % buckets, b, k) for w, k in number.items())
-            order = np.empty(len(known), np.uint32)
-            order[np.fromiter((k for _, _, k in known), np.int64, len(known))] = np.arange(len(known), dtype=np.uint32)
-            rows = [(base + n, None, None, ids, [len(p) for p in places], order[np.concatenate(places)].tobytes() if known else b"")]
-            at = 0
-            while at < len(known):
-                to = at
-                while to < len(known) and known[to][0] == known[at][0]:
-                    to += 1
-                rows.append((base + n, known[at][0], _pack([b for _, b, _ in known[at:to]]), None, None, None))
-                at = to
+            flat = np.concatenate(places)
+            # Words are numbered by how often they come; a bucket's list has its words in that order.
+            order = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")
+            rank = np.empty(len(number), np.uint32)
+            rank[order] = np.arange(len(number), dtype=np.uint32)
+            names = [w.encode() for w in number]
+            lists: dict[int, list[bytes]] = {}
+            for k in order.tolist():
+                lists.setdefault(crc32(names[k]) % buckets, []).append(names[k])
+            owner = [crc32(names[k]) % buckets for k in order.tolist()]
+            rows = [(base + n, None, _squeeze(owner), ids, [len(p) for p in places], _squeeze(rank[flat]))]
+            rows += [(base + n, k, _pack(found), None, None, None) for k, found in lists.items()]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out.values())], list(out))
 
         ids: list = []
@@ -136,8 +169,8 @@ def _encode_buckets(words: DataFrame, ranks: str, pattern: str, buckets: int) ->
                 parts = _unpack(blob)
                 for w in parts:
                     if w not in known:
-                        known[w] = np.array(encode(w.decode()), "<u4").tobytes()
-                packed.append(_pack([known[w] for w in parts]))
+                        known[w] = np.array(encode(w.decode()), "<u4")
+                packed.append(_pack_ids([known[w] for w in parts]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], ["block", "bucket", "ids"])
 
     met = words.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
@@ -149,21 +182,22 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = Stash(_blocks(rows, pattern, buckets), "bpe-blocks")
-    words = parts.df.where("bucket IS NOT NULL").select("block", "bucket", "words")
+    # Bucketed by block, so what goes back to the blocks is shuffled, not the blocks. All large fields are compressed.
+    parts = bucketed(_blocks(rows, pattern, buckets), "bpe-blocks", "block", buckets, codec="uncompressed")
+    words = parts.where("bucket IS NOT NULL").select("block", "bucket", "words")
     encoded = _encode_buckets(words, ranks, pattern, buckets)
-    texts = parts.df.where("bucket IS NULL").select("block", "doc_ids", "counts", "places")
+    texts = parts.where("bucket IS NULL").select("block", "words", "doc_ids", "counts", "places")
 
     kind = to_arrow_type(rows.schema["doc_id"].dataType)
 
     def rebuild(left: pa.Table, right: pa.Table) -> pa.Table:
         import numpy as np
 
-        lists = sorted(zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist()))
-        known = [ids for _, blob in lists for ids in _unpack(blob)]
+        lists = {k: iter(_unpack_ids(blob)) for k, blob in zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist())}
         ids, texts = [], []
-        for some, counts, places in zip(*(left.column(c).to_pylist() for c in ("doc_ids", "counts", "places"))):
-            flat, at = np.frombuffer(places, "<u4").tolist(), 0
+        for owner, some, counts, places in zip(*(left.column(c).to_pylist() for c in ("words", "doc_ids", "counts", "places"))):
+            known = [next(lists[k]) for k in _unsqueeze(owner).tolist()]
+            flat, at = _unsqueeze(places).tolist(), 0
             for n in counts:
                 texts.append(b"".join([known[p] for p in flat[at : at + n]]))
                 at += n
@@ -180,37 +214,43 @@ def array_of_ids(packed: bytes):
     return np.frombuffer(packed, "<u4")
 
 
+class _Decoder:
+    """Ids to bytes by the token-byte table, which is as large as the vocabulary and broadcast."""
+
+    def __init__(self, spark, ranks: str):
+        self._table = spark.sparkContext.broadcast({i: b for b, i in load_ranks(ranks).items()})
+
+    def __call__(self, packed: bytes) -> bytes:
+        return b"".join(map(self._table.value.__getitem__, array_of_ids(packed).tolist()))
+
+
 def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     """doc_id, ids, decoded: the bytes that the ids stand for. An id that the table lacks is an error."""
-    # The table is as large as the vocabulary.
-    table = encoded.sparkSession.sparkContext.broadcast({i: b for b, i in load_ranks(ranks).items()})
+    one = _Decoder(encoded.sparkSession, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = table.value
         for b in batches:
-            texts = [b"".join([of[i] for i in array_of_ids(x).tolist()]) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(one, b.column(1).to_pylist()), pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema, T.StructField("decoded", T.BinaryType())]))
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 of the ids as decimals joined by commas, decoded_sha256."""
+def digests(encoded: DataFrame, ranks: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 of the ids as decimals joined by commas, decoded_sha256 of what they decode to."""
+    one = _Decoder(encoded.sparkSession, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
-        decimal: dict[int, str] = {}
+        decimal = [str(i) for i in range(max(load_ranks(ranks).values()) + 1)]
         for b in batches:
-            n, hashed = [], []
+            n, hashed, whole = [], [], []
             for x in b.column(1).to_pylist():
                 ids = array_of_ids(x).tolist()
-                for i in set(ids).difference(decimal):
-                    decimal[i] = str(i)
                 n.append(len(ids))
-                hashed.append(sha256(",".join([decimal[i] for i in ids]).encode()).hexdigest())
-            whole = [sha256(x).hexdigest() for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hashed), pa.array(whole)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                hashed.append(sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+                whole.append(sha256(one(x)).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hashed, pa.string()), pa.array(whole, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    schema = T.StructType([decoded.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return decoded.mapInArrow(run, schema)
+    schema = T.StructType([encoded.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return encoded.mapInArrow(run, schema)

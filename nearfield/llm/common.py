@@ -58,6 +58,27 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return Stash(df, label).df
 
 
+def bucketed(df: DataFrame, label: str, key: str, buckets: int, sort: bool = False, codec: str = "zstd") -> DataFrame:
+    """A table like a stash whose files are dealt by a key: joins and groups by it don't shuffle it."""
+    path = new_path(df.sparkSession, label)
+    name = "nearfield_" + path.rsplit("-", 1)[1]
+    writer = df.write.option("compression", codec).option("path", path).bucketBy(buckets, key)
+    (writer.sortBy(key) if sort else writer).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def hash_place(c: Column) -> Column:
+    """Where the hash of a value lies between 0 and 1."""
+    return F.xxhash64(c).cast("double") / 2.0**64 + 0.5
+
+
+def share_for(wanted: int, rows: Column | int) -> Column | float:
+    """The share of hashes in which the `wanted` first of so many rows lie, nearly always: those are then few to sort."""
+    if isinstance(rows, int):
+        return min(1.0, 4.0 * wanted / max(1, rows))
+    return F.least(F.lit(1.0), 4.0 * wanted / rows)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only; other letters stay. lower() does just that where every character is one byte."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

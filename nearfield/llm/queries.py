@@ -57,7 +57,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = tokenizer_path("byte_bpe_multi_50k.tiktoken")
     encoded = byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode(encoded, ranks))
+    return byte_bpe.digests(encoded, ranks)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
