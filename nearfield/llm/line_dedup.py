@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HEAVY, SPACE, Stash, ascii_lower, new_path, unhot_join
+from .common import HEAVY, SPACE, Stash, ascii_lower, bucketed, unhot_join
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Batches of one call, and the runs of a level that are compacted.
@@ -48,10 +48,7 @@ class LineRuns:
     def _write(self, run: DataFrame) -> DataFrame:
         """Sorted and bucketed by key, so merges of runs neither shuffle nor sort them again."""
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        path = new_path(self.spark, "line-run")
-        name = "nearfield_" + path.rsplit("-", 1)[1]
-        run.repartition(n, "_key").write.bucketBy(n, "_key").sortBy("_key").option("path", path).saveAsTable(name)
-        return self.spark.table(name)
+        return bucketed(run.repartition(n, "_key"), "line-run", "_key", n, sort=True)
 
     def merged(self) -> DataFrame | None:
         """One row for each line of all runs."""
@@ -60,7 +57,15 @@ class LineRuns:
 
     @staticmethod
     def _merge(runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs).groupBy("_key").agg(F.sum("_docs").alias("_docs"), F.max("_keeper").alias("_keeper"))
+        """Pairs of runs are sorted and dealt alike, so a merge join needs no shuffle of what was written."""
+
+        def two(a: DataFrame, b: DataFrame) -> DataFrame:
+            b = b.select(F.col("_key").alias("_key2"), F.col("_docs").alias("_docs2"), F.col("_keeper").alias("_keeper2")).hint("merge")
+            docs = F.coalesce("_docs", F.lit(0)) + F.coalesce("_docs2", F.lit(0))
+            both = a.join(b, F.col("_key") == F.col("_key2"), "full")
+            return both.select(F.coalesce("_key", "_key2").alias("_key"), docs.alias("_docs"), F.greatest("_keeper", "_keeper2").alias("_keeper"))
+
+        return reduce(two, runs)
 
     def add(self, batch: DataFrame) -> None:
         own = batch.groupBy("_key").agg(F.count(F.lit(1)).alias("_docs"), F.max("doc_id").alias("_keeper"))
