@@ -25,8 +25,8 @@ from .common import Stash
 
 SEQUENCE, END_ID = 4096, 2
 DIMENSIONS, BITS, BUCKETS = 4, 10, 256
-#: Words that a task remembers the ids of.
-REMEMBERED = 200_000
+#: Words that a worker remembers the ids of, twice.
+REMEMBERED = 400_000
 
 
 @lru_cache(maxsize=2)
@@ -39,28 +39,105 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class WordEncoder:
-    """encode() for tokenizers that drop white space, so that the ids of a text are those of its words in order."""
+#: A character that makes a token of its own, to tell joined words apart.
+MARK = b"\x01"
+#: A word of Latin letters, each one character in every normal form that composes, and marks after it.
+PLAIN = r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([^\s\w'\x00-\x20\x7f-\U0010ffff]*)"
+#: The normalizers and the pattern of tokenizers in which such a word is one piece and its marks another.
+LETTERS_APART = ({"NFC", "Replace", "Lowercase"}, r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
-        self.tokenizer, self.known, self.remembered = _tokenizer(path), {}, remembered
 
-    def __call__(self, texts: list[bytes]) -> list:
-        """For each text its ids, as numpy arrays. Only ASCII white space splits words: it never is part of a token."""
-        from itertools import chain
+class WordEncoder:
+    """Texts to ids, each id as a fixed number of bytes, for tokenizers that drop white space: the ids of a text are
+    those of its words in order. Only ASCII white space splits words here, as it never is part of a token.
+
+    Words are remembered in two generations of about `remembered` each; when the younger is full, the older goes.
+    Where the tokenizer sets letters apart, a plain word's letters go straight to the model, lower-cased, and its marks
+    are another piece. Other new words are encoded many at a time, as one text with marks between them.
+    """
+
+    def __init__(self, path: str, kind: str, remembered: int = REMEMBERED):
+        import json
+        import re
+
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer, self.kind, self.remembered = _tokenizer(path), kind, remembered
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.size = 2 if kind == "<u2" else 4
+        self.mark = self._ids(MARK)
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        normal, split = (form.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+        steps = [x.get("pattern", {}).get("Regex") for x in split.get("pretokenizers", []) if x["type"] == "Split"]
+        self.plain = None
+        if {x["type"] for x in normal.get("normalizers", [])} == LETTERS_APART[0] and steps == [LETTERS_APART[1]]:
+            self.plain, self.model = re.compile(PLAIN).fullmatch, self.tokenizer.model.tokenize
+            spelt = ByteLevel(add_prefix_space=False, use_regex=False)
+            self.spelling = {c: spelt.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
+
+    def _ids(self, text: bytes):
+        import numpy as np
 
+        return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, self.kind)
+
+    def _remembered(self, word: bytes) -> bytes | None:
+        return self.known.get(word) or self.older.get(word)
+
+    def _learn_plain(self, word: bytes, letters: str, marks: str) -> None:
+        lower = letters.lower()
+        stem = lower.encode()
+        ids = self._remembered(stem)
+        if ids is None:
+            tokens = self.model(lower if lower.isascii() else lower.translate(self.spelling))
+            ids = self.known[stem] = b"".join([t.id.to_bytes(self.size, "little") for t in tokens])
+        if marks:
+            tail = self._remembered(key := marks.encode())
+            if tail is None:
+                tail = self.known[key] = self._ids(key).tobytes()
+            ids += tail
+        self.known[word] = ids
+
+    def _learn(self, new: list[bytes]) -> None:
         import numpy as np
 
+        if self.plain:
+            rest = []
+            for w in new:
+                if m := self.plain(w.decode()):
+                    self._learn_plain(w, *m.groups())
+                else:
+                    rest.append(w)
+            new = rest
+        joined = [w for w in new if MARK not in w] if len(self.mark) == 1 else []
+        size = self.size
+        for i in range(0, len(joined), 2000):
+            some = joined[i : i + 2000]
+            ids = self._ids((b" " + MARK + b" ").join(some))
+            cuts = (np.flatnonzero(ids == self.mark[0]) * size).tolist()
+            raw = ids.tobytes()
+            self.known.update(zip(some, (raw[a:b] for a, b in zip([0, *(c + size for c in cuts)], [*cuts, len(raw)]))))
+        if len(joined) < len(new):
+            self.known.update((w, self._ids(w).tobytes()) for w in new if w not in self.known)
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
         found = [t.split() for t in texts]
-        if len(self.known) > self.remembered:
-            self.known = {}
-        if new := list(set(chain.from_iterable(found)).difference(self.known)):
-            for i in range(0, len(new), 20_000):
-                some = new[i : i + 20_000]
-                encoded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-                self.known.update(zip(some, (tuple(e.ids) for e in encoded)))
+        new = set().union(*found).difference(self.known)
+        if len(self.known) + len(new) > self.remembered:
+            self.older, self.known = self.known, {}
+            new = set().union(*found)
+        again = new.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        self._learn(list(new - again))
         of = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(of, f)), np.uint32) for f in found]
+        return [b"".join(map(of, f)) for f in found]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str, kind: str) -> WordEncoder:
+    """One of a worker: tasks that follow in it know the words of those before."""
+    return WordEncoder(path, kind)
 
 
 def hilbert(cells, bits: int = BITS):
@@ -97,19 +174,20 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        encode = WordEncoder(tokenizer)
         kind = _width(tokenizer, end_id)
+        encode, end = _encoder(tokenizer, kind), np.array([end_id], kind).tobytes()
         axes = np.random.default_rng(0).standard_normal((BUCKETS, DIMENSIONS))
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
             for lo in range(0, len(texts), 500):
                 ids = encode([t or b"" for t in texts[lo : lo + 500]])
-                hashed = np.array([np.bincount((x * np.uint32(2654435761)) >> np.uint32(24), minlength=BUCKETS)[:BUCKETS] for x in ids], float)
+                places = ((np.frombuffer(x, kind).astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(24) for x in ids)
+                hashed = np.array([np.bincount(x, minlength=BUCKETS) for x in places], float)
                 length = np.linalg.norm(hashed, axis=1, keepdims=True)
                 spread = (hashed / np.maximum(length, 1)) @ axes
                 cells = np.clip((1 << BITS) * (0.5 + np.arctan(spread) / np.pi), 0, (1 << BITS) - 1).astype(np.int64)
-                full = [np.append(x, end_id).astype(kind) for x in ids]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(ids)), pa.array(hilbert(cells)), pa.array([len(x) for x in full], pa.int64()), pa.array([x.tobytes() for x in full], pa.binary())], ["doc_id", "key", "n_tokens", "ids"])
+                full = [x + end for x in ids]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(ids)), pa.array(hilbert(cells)), pa.array([len(x) // len(end) for x in full], pa.int64()), pa.array(full, pa.binary())], ["doc_id", "key", "n_tokens", "ids"])
 
     schema = T.StructType([docs.schema[0], T.StructField("key", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     return docs.mapInArrow(run, schema)
@@ -132,8 +210,11 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("part", T.IntegerType()), T.StructField("first", T.LongType())]))
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """doc_id, start, length, ids, doc_tokens, sequence_id, offset: a row for each piece; ids is an array of ints."""
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID, checksums: bool = False) -> DataFrame:
+    """doc_id, start, length, ids, doc_tokens, sequence_id, offset: a row for each piece.
+
+    ids is an array of ints. With checksums there is ids_crc32 instead, of the ids as little-endian 32-bit numbers.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     first = Stash(tokenised(rows, tokenizer, end_id), "pack-ids")
@@ -156,6 +237,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from bisect import bisect_right
+        from zlib import crc32
 
         import numpy as np
 
@@ -171,35 +253,22 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                         j = bisect_right(tail, g) - 1
                         seq, begin, end = whole // sequence + j, tail[j], tail[j + 1]
                     length = min(tokens - done, end - g)
-                    out.append((k, done, length, ids[done : done + length].astype("<i4"), tokens, seq, g - begin))
+                    piece = ids[done : done + length].astype("<i4")
+                    out.append((k, done, length, crc32(piece) if checksums else piece, tokens, seq, g - begin))
                     done += length
             if out:
                 k, start, length, ids, tokens, seq, offset = zip(*out)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(k)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), lists, *(pa.array(x, pa.int64()) for x in (tokens, seq, offset))], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+                if checksums:
+                    what = pa.array(ids, pa.int64())
+                else:
+                    what = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(k)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), what, *(pa.array(x, pa.int64()) for x in (tokens, seq, offset))], schema.names)
 
     longs = [T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")]
-    schema = T.StructType([rows.schema["doc_id"], *longs[:2], T.StructField("ids", T.ArrayType(T.IntegerType())), *longs[2:]])
+    what = T.StructField("ids_crc32", T.LongType()) if checksums else T.StructField("ids", T.ArrayType(T.IntegerType()))
+    schema = T.StructType([rows.schema["doc_id"], *longs[:2], what, *longs[2:]])
     return placed.df.select("doc_id", "n_tokens", "ids", "part", "first").mapInArrow(run, schema)
 
 
 def _width(tokenizer: str, end_id: int) -> str:
     return "<u2" if max(_tokenizer(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-
-
-def with_checksums(pieces: DataFrame) -> DataFrame:
-    """ids become ids_crc32, of little-endian 32-bit ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from zlib import crc32
-
-        import numpy as np
-
-        for b in batches:
-            lists = b.column("ids")
-            at, flat = lists.offsets.to_pylist(), np.ascontiguousarray(lists.values.to_numpy(), "<u4")
-            sums = pa.array([crc32(flat[i:j]) for i, j in zip(at, at[1:])], pa.int64())
-            yield pa.RecordBatch.from_arrays([sums if f.name == "ids" else c for f, c in zip(b.schema, b.columns)], ["ids_crc32" if c == "ids" else c for c in b.schema.names])
-
-    fields = [T.StructField("ids_crc32", T.LongType()) if f.name == "ids" else f for f in pieces.schema]
-    return pieces.mapInArrow(run, T.StructType(fields))

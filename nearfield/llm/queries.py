@@ -69,8 +69,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
-    return packing.with_checksums(pieces)
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), checksums=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_simhash_dedup, op4_url_filter, op5_sharding, op6_language_id, op7_byte_bpe, op8_exact_dedup, op9_quality_rules, op10_packing)}

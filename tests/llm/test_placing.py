@@ -169,9 +169,8 @@ def test_packing(documents, odd, many):
 
 
 def test_packed_checksums(documents, odd):
-    df = packing.pack(documents(odd), WORDS)
-    ids = {(p["doc_id"], p["sequence_id"], p["offset"]): p["ids"] for p in df.collect()}
-    for p in packing.with_checksums(df).collect():
+    ids = {(p["doc_id"], p["sequence_id"], p["offset"]): p["ids"] for p in packing.pack(documents(odd), WORDS).collect()}
+    for p in packing.pack(documents(odd), WORDS, checksums=True).collect():
         assert p["ids_crc32"] == crc32(np.array(ids[p["doc_id"], p["sequence_id"], p["offset"]], "<u4").tobytes())
 
 
@@ -193,6 +192,18 @@ def test_hilbert_curve_steps_to_neighbours():
         assert (steps == 1).all()
 
 
+def test_ids_of_words_of_all_kinds():
+    """Plain words and others, alone and with marks, as the tokenizer itself has them."""
+    from tokenizers import Tokenizer
+
+    t, e, r = Tokenizer.from_file(WORDS), packing.WordEncoder(WORDS, "<u2"), random.Random(11)
+    letters = [chr(c) for c in range(0x21, 0x250)] + list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ.,!?'\u2019") * 8
+    letters += ["\u0301", "\u0308", "\u0130", "\u017f", "\u212a", "\u212b", "\ufb01", "\u4f60", "\u00ad", "\x01", "<|endoftext|>", "\u03a3"]
+    for _ in range(4000):
+        text = " ".join("".join(r.choice(letters) for _ in range(r.randint(1, 7))) for _ in range(2))
+        assert np.frombuffer(e([text.encode()])[0], "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def test_words_are_forgotten_and_learned_again():
     e = packing.WordEncoder(WORDS, "<u2", remembered=10)
     texts = [" ".join(f"w{(i * 7 + j) % 40}" for j in range(6)).encode() for i in range(30)]
