@@ -147,7 +147,7 @@ class VectorIndex:
             found = self._read(part, f"postings-{field}")
             if terms is None:
                 return found
-            keys = [r[0] for r in self.spark.createDataFrame(sorted({(t, list(h)) for t, h, _ in terms}), "tbl int, hash array<int>").select(term_key(F.col("tbl"), F.col("hash"))).collect()]
+            keys = [r[0] for r in self.spark.createDataFrame([(t, list(h)) for t, h in sorted({x[:2] for x in terms})], "tbl int, hash array<int>").select(term_key(F.col("tbl"), F.col("hash"))).collect()]
             return found.where(F.col("key").isin(sorted(set(keys))))
 
         out = of(manifest["base"])
