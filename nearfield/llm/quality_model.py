@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .common import hash_place, share_for
+
 JUNK, NONE, CLEAN = -1, 0, 1
 SAMPLE = 4000
 FEATURES, TRIGRAMS = 4096, 3072
@@ -116,24 +118,23 @@ def trigram_places(text: bytes):
 
 
 def features(text: bytes):
-    """The dense vector: frequencies of trigrams, and ones."""
+    """(places, values): of trigrams their frequencies, of statistics ones."""
     import numpy as np
 
-    out = np.zeros(FEATURES, np.float32)
+    steps = np.bincount(statistic_features(*statistics(text)), minlength=FEATURES).astype(np.float32)
     if len(text) > 2:
-        out[:TRIGRAMS] = TRIGRAM_SCALE * np.bincount(trigram_places(text), minlength=TRIGRAMS) / (len(text) - 2)
-    np.add.at(out, statistic_features(*statistics(text)), 1.0)
-    return out
+        steps[:TRIGRAMS] = TRIGRAM_SCALE * np.bincount(trigram_places(text), minlength=TRIGRAMS) / (len(text) - 2)
+    places = np.flatnonzero(steps)
+    return places.astype("<u2"), steps[places].astype("<f4")
 
 
 TRIGRAM_SCALE = 30.0
 
 
-def train(x, y, weights=None, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4):
-    """Logistic regression by Adam on all rows; y is the probability of clean. The last weight is the bias."""
+def train(x, y, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4):
+    """Logistic regression by Adam on all rows of a matrix whose last column is ones; y is the probability of clean."""
     import numpy as np
 
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     w, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))
     balance = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum())).astype(np.float32)
     balance /= balance.sum()
@@ -161,19 +162,27 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
     counts = rows.select("_text").mapInArrow(votes, "votes array<tinyint>").groupBy("votes").count().collect()
     clean = expectation_maximisation({tuple(r["votes"]): r["count"] for r in counts})
-    ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    near = rows.select("doc_id").where(hash_place(F.col("doc_id")) <= share_for(sample, sum(r["count"] for r in counts)))
+    ids = near.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = _texts(b, 0)
-            yield pa.RecordBatch.from_arrays([pa.array([features(t).tobytes() for t in texts], pa.binary()), pa.array([clean[vote(*statistics(t))] for t in texts], pa.float64())], ["x", "y"])
+            places, values = zip(*map(features, texts)) if texts else ((), ())
+            columns = [pa.array([x.tobytes() for x in c], pa.binary()) for c in (places, values)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([clean[vote(*statistics(t))] for t in texts], pa.float64())], ["places", "features", "y"])
 
     # At most `sample` ids; more rows than that only where doc_ids repeat.
     chosen = rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").limit(sample)
-    found = chosen.select("_text").mapInArrow(vectors, "x binary, y double").collect()
+    found = chosen.select("_text").mapInArrow(vectors, "places binary, features binary, y double").collect()
     if not found:
         return np.zeros(FEATURES + 1, np.float32), clean
-    return train(np.stack([np.frombuffer(r["x"], np.float32) for r in found]), np.array([r["y"] for r in found], np.float32)), clean
+    x, y = np.zeros((len(found), FEATURES + 1), np.float32), np.array([r["y"] for r in found], np.float32)
+    for row, r in zip(x, found):
+        row[np.frombuffer(r["places"], "<u2")] = np.frombuffer(r["features"], "<f4")
+        row[FEATURES] = 1
+    del found
+    return train(x, y), clean
 
 
 def with_scores(docs: DataFrame, weights, text_col: str = "text", into: str = "score") -> DataFrame:
