@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import hash_place, share_for, unhot_join
+
 FOLDS, HELD_OUT = 4, 2
 DOCS_PER_LANGUAGE, DOCS_IN_ALL, WINDOWS_PER_DOC = 400, 4000, 6
 WINDOW, HIDDEN = 64, 8
@@ -194,8 +196,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     usable = rows.where(F.col("_lang").isNotNull() & (F.length("_text") > 0) & ~held_out(F.col("doc_id")))
+    ids = usable.select("doc_id", "_lang")
+    counts = ids.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    # The first of a language by hash are looked for among few, so no task sorts all of a large one.
+    near = unhot_join(ids, counts, "_lang", "_n", total).where(hash_place(F.col("doc_id")) <= share_for(DOCS_PER_LANGUAGE, F.col("_n")))
     by_hash = Window.partitionBy("_lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    first = usable.select("doc_id", "_lang").withColumn("_rank", F.row_number().over(by_hash)).where(F.col("_rank") <= DOCS_PER_LANGUAGE)
+    first = near.withColumn("_rank", F.row_number().over(by_hash)).where(F.col("_rank") <= DOCS_PER_LANGUAGE)
     ids = first.orderBy("_rank", "_lang").limit(DOCS_IN_ALL).select("doc_id").distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

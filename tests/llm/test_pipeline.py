@@ -1,4 +1,6 @@
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from nearfield.llm import queries
@@ -23,6 +25,20 @@ def test_stages_return_documents_that_they_were_given(spark):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == packed
 
 
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_and_no_rows(documents, odd, spark, stage):
+    """Nulls in all columns, repeated rows, and columns with the names that stages use inside."""
+    df = documents(odd).unionByName(documents(odd[:4]))
+    df = df.unionByName(df.select(*(F.lit(None).cast(t).alias(c) for c, t in df.dtypes)).limit(2))
+    out = stage(spark, df, SF)
+    assert out.count() >= 0
+    if stage is not corpus_pipeline.STAGES[-1][1]:
+        assert out.columns == df.columns
+    else:
+        assert out.agg(F.sum("length")).first()[0] == out.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
+    assert stage(spark, documents([]), SF).count() == 0
+
+
 def test_queries_against_sql(spark):
     con = duckdb.connect()
     for t in ("documents", "pages"):
