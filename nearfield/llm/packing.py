@@ -2,8 +2,9 @@
 
 1. Documents are tokenised; the hashed counts of their ids are projected to DIMENSIONS numbers, and those are a cell
    of a grid whose place on the Hilbert curve is the document's key.
-2. Documents are range-sorted by that key, so the parts of the table follow the curve, and each part numbers its
-   tokens from 0. The parts' sums, as many as there are partitions, give where each part begins.
+2. The curve is cut into 2^CELL_BITS cells, whose sums of tokens give ranges of cells with about as many tokens each:
+   the parts. A cell that alone holds more is split by the hash of doc_id. Each part is sorted by key in one task, and
+   the parts' sums give where each begins.
 3. Tokens are cut wherever a sequence ends, so the sequences hold neighbours on the curve and are full. What is left
    at the end is cut into sequences of powers of two, which need no padding.
 
@@ -21,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stash
+from .common import Stash, hash_place
 
 SEQUENCE, END_ID = 4096, 2
 DIMENSIONS, BITS, BUCKETS = 4, 10, 256
+#: Of the key's bits, those of a cell; and the parts that a task of the shuffle gets, so that tasks are even.
+CELL_BITS, PARTS_A_TASK = 16, 4
 #: Words that a worker remembers the ids of, twice.
 REMEMBERED = 400_000
 
@@ -82,34 +85,38 @@ class WordEncoder:
 
         return np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, self.kind)
 
-    def _remembered(self, word: bytes) -> bytes | None:
-        return self.known.get(word) or self.older.get(word)
-
-    def _learn_plain(self, word: bytes, letters: str, marks: str) -> None:
-        lower = letters.lower()
-        stem = lower.encode()
-        ids = self._remembered(stem)
-        if ids is None:
-            tokens = self.model(lower if lower.isascii() else lower.translate(self.spelling))
-            ids = self.known[stem] = b"".join([t.id.to_bytes(self.size, "little") for t in tokens])
-        if marks:
-            tail = self._remembered(key := marks.encode())
-            if tail is None:
-                tail = self.known[key] = self._ids(key).tobytes()
-            ids += tail
-        self.known[word] = ids
+    def _learn_plain(self, new: list[bytes]) -> list[bytes]:
+        """The words that aren't plain; the others are known after this."""
+        import sys
+        from array import array
+
+        known, older, plain, model, spelling, code = self.known, self.older, self.plain, self.model, self.spelling, "H" if self.size == 2 else "I"
+        rest = []
+        for w in new:
+            if (m := plain(w.decode())) is None:
+                rest.append(w)
+                continue
+            letters, marks = m.groups()
+            lower = letters.lower()
+            ids = known.get(stem := lower.encode()) or older.get(stem)
+            if ids is None:
+                found = array(code, [t.id for t in model(lower if lower.isascii() else lower.translate(spelling))])
+                if sys.byteorder == "big":
+                    found.byteswap()
+                ids = known[stem] = found.tobytes()
+            if marks:
+                tail = known.get(key := marks.encode()) or older.get(key)
+                if tail is None:
+                    tail = known[key] = self._ids(key).tobytes()
+                ids += tail
+            known[w] = ids
+        return rest
 
     def _learn(self, new: list[bytes]) -> None:
         import numpy as np
 
         if self.plain:
-            rest = []
-            for w in new:
-                if m := self.plain(w.decode()):
-                    self._learn_plain(w, *m.groups())
-                else:
-                    rest.append(w)
-            new = rest
+            new = self._learn_plain(new)
         joined = [w for w in new if MARK not in w] if len(self.mark) == 1 else []
         size = self.size
         for i in range(0, len(joined), 2000):
@@ -123,14 +130,15 @@ class WordEncoder:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         found = [t.split() for t in texts]
-        new = set().union(*found).difference(self.known)
+        words = set().union(*found)
+        new = words.difference(self.known)
         if len(self.known) + len(new) > self.remembered:
-            self.older, self.known = self.known, {}
-            new = set().union(*found)
+            self.older, self.known, new = self.known, {}, words
         again = new.intersection(self.older)
         self.known.update((w, self.older[w]) for w in again)
         self._learn(list(new - again))
-        of = self.known.__getitem__
+        # The words of these texts alone lie closer together in memory.
+        of = {w: self.known[w] for w in words}.__getitem__
         return [b"".join(map(of, f)) for f in found]
 
 
@@ -179,8 +187,8 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
         axes = np.random.default_rng(0).standard_normal((BUCKETS, DIMENSIONS))
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
-            for lo in range(0, len(texts), 500):
-                ids = encode([t or b"" for t in texts[lo : lo + 500]])
+            for lo in range(0, len(texts), 1000):
+                ids = encode([t or b"" for t in texts[lo : lo + 1000]])
                 places = ((np.frombuffer(x, kind).astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(24) for x in ids)
                 hashed = np.array([np.bincount(x, minlength=BUCKETS) for x in places], float)
                 length = np.linalg.norm(hashed, axis=1, keepdims=True)
@@ -193,21 +201,17 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
     return docs.mapInArrow(run, schema)
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """part and first: the task's number, and the tokens of its rows before."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        from pyspark import TaskContext
-
-        part, at = TaskContext.get().partitionId(), 0
-        for b in batches:
-            n = b.column("n_tokens").to_numpy()
-            ends = at + np.cumsum(n)
-            at = int(ends[-1]) if len(n) else at
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n)], [*b.schema.names, "part", "first"])
-
-    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("part", T.IntegerType()), T.StructField("first", T.LongType())]))
+def _ranges(cells: list[tuple[int, int]], wanted: int) -> list[tuple[int, int, int]]:
+    """(cell, first part, its parts) for (cell, tokens) in the order of the curve."""
+    out, part, held = [], 0, 0
+    target = max(1, -(-sum(t for _, t in cells) // wanted))
+    for cell, tokens in cells:
+        if held and held + tokens > target:
+            part, held = part + 1, 0
+        parts = max(1, -(-tokens // target))
+        out.append((cell, part, parts))
+        part, held = (part + parts, 0) if parts > 1 else (part, held + tokens)
+    return out
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID, checksums: bool = False) -> DataFrame:
@@ -217,17 +221,17 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    first = Stash(tokenised(rows, tokenizer, end_id), "pack-ids")
+    table = Stash(tokenised(rows, tokenizer, end_id), "pack-ids").df
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Rows that are equal in all of these are the same, whichever comes first.
-    tie = F.crc32("ids")
-    placed = Stash(_numbered(first.df.withColumn("_tie", tie).repartitionByRange(n, "key", "doc_id", "_tie").sortWithinPartitions("key", "doc_id", "_tie").drop("_tie")), "pack-placed")
-    first.drop()
-    # A row for each partition.
-    sums = sorted(map(tuple, placed.df.groupBy("part").agg(F.sum("n_tokens")).collect()))
+    celled = table.withColumn("_cell", F.shiftright("key", DIMENSIONS * BITS - CELL_BITS).cast("int"))
+    # At most 2^CELL_BITS rows, and then a row for each part.
+    cells = sorted(map(tuple, celled.groupBy("_cell").agg(F.sum("n_tokens")).collect()))
+    ranges = spark.createDataFrame(_ranges(cells, PARTS_A_TASK * n), "_cell int, _first int, _parts int")
+    part = F.col("_first") + F.floor(hash_place(F.col("doc_id")) * F.col("_parts")).cast("int")
+    parted = celled.join(F.broadcast(ranges), "_cell").withColumn("part", part).drop("_cell", "_first", "_parts")
     starts, total = {}, 0
-    for part, tokens in sums:
-        starts[part], total = total, total + tokens
+    for k, tokens in sorted(map(tuple, parted.groupBy("part").agg(F.sum("n_tokens")).collect())):
+        starts[k], total = total, total + tokens
     whole = total - total % sequence
     tail = [whole]  # where the sequences of powers of two begin
     for bit in range(sequence.bit_length() - 1, -1, -1):
@@ -241,10 +245,13 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
         import numpy as np
 
+        now, at = None, 0
         for b in batches:
             out: list[tuple] = []
-            for k, (tokens, raw, part, at) in enumerate(zip(*(b.column(c).to_pylist() for c in ("n_tokens", "ids", "part", "first")))):
-                at, done, ids = at + starts[part], 0, np.frombuffer(raw, wide)
+            for k, (tokens, raw, part) in enumerate(zip(*(b.column(c).to_pylist() for c in ("n_tokens", "ids", "part")))):
+                if part != now:
+                    now, at = part, starts[part]
+                done, ids = 0, np.frombuffer(raw, wide)
                 while done < tokens:
                     g = at + done
                     if g < whole:
@@ -256,6 +263,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     piece = ids[done : done + length].astype("<i4")
                     out.append((k, done, length, crc32(piece) if checksums else piece, tokens, seq, g - begin))
                     done += length
+                at += tokens
             if out:
                 k, start, length, ids, tokens, seq, offset = zip(*out)
                 if checksums:
@@ -267,7 +275,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     longs = [T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")]
     what = T.StructField("ids_crc32", T.LongType()) if checksums else T.StructField("ids", T.ArrayType(T.IntegerType()))
     schema = T.StructType([rows.schema["doc_id"], *longs[:2], what, *longs[2:]])
-    return placed.df.select("doc_id", "n_tokens", "ids", "part", "first").mapInArrow(run, schema)
+    # Rows that are equal in all of these are the same, whichever comes first.
+    order = ["part", "key", "doc_id", F.crc32("ids")]
+    return parted.repartition(n, "part").sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids", "part").mapInArrow(run, schema)
 
 
 def _width(tokenizer: str, end_id: int) -> str:
