@@ -78,8 +78,9 @@ def explain_approximate(hits: DataFrame, n_hashes: int) -> DataFrame:
     return hits.withColumn("explanation", text)
 
 
-def approximate_join(queries: DataFrame, corpus: DataFrame, postings: DataFrame, model: HashModel, kind: Similarity | str, n_candidates: int, k: int, qid_col: str = "qid", q_col: str = "vec", id_col: str = "id", vec_col: str = "vec", probes: int = 0) -> DataFrame:
-    """qid, id, score, hits, rank: the k best candidates of each query, all queries in one job.
+def approximate_join(queries: DataFrame, corpus: DataFrame, postings: DataFrame, model: HashModel, kind: Similarity | str, n_candidates: int, k: int, qid_col: str = "qid", q_col: str = "vec", id_col: str = "id", vec_col: str = "vec", probes: int = 0, segments: int = 1) -> DataFrame:
+    """qid, id, score, hits, rank: the k best candidates of each query, all queries in one job. Each of the segments,
+    to which ids are dealt by hash, has n_candidates of its own.
 
     The terms of many queries meet the postings by a shuffled join, in which Spark splits postings lists that are much
     longer than others; terms of few queries are broadcast. Vectors are read again only for the candidates.
@@ -90,7 +91,11 @@ def approximate_join(queries: DataFrame, corpus: DataFrame, postings: DataFrame,
     if terms.count() * 64 <= BROADCAST_BYTES:
         terms = F.broadcast(terms)
     hits = postings.join(terms, ["tbl", "hash"]).groupBy("qid", "id").agg(F.sum(F.least("q_freq", "freq") * F.col("times")).cast("long").alias("hits"))
-    chosen = ranked(hits, n_candidates, "qid", "id", "hits").drop("rank")
+    if segments > 1:
+        order = Window.partitionBy("qid", segment_of(F.col("id"), segments)).orderBy(F.desc("hits"), "id")
+        chosen = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n_candidates).drop("rank")
+    else:
+        chosen = ranked(hits, n_candidates, "qid", "id", "hits").drop("rank")
     stored = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")).where(F.col("_v").isNotNull())
     scored = chosen.join(stored, "id").join(q, "qid").select("qid", "id", "hits", similarity(kind, F.col("_q"), F.col("_v")).alias("score"))
     return ranked(scored, k)

@@ -25,7 +25,7 @@ JACCARD, HAMMING = JaccardLsh(DIMS, 20, 2), HammingLsh(DIMS, 10, 6)
 COSINE, L2 = CosineLsh(DIMS, 8, 4), L2Lsh(DIMS, 8, 2, 1)
 L2_PROBED = L2Lsh(DIMS, 8, 1, 1)
 PERMUTATION, REPEATING = PermutationLsh(DIMS, 12, False), PermutationLsh(DIMS, 12, True)
-BASKET_DIMS, BASKETS = 1 << 20, JaccardLsh(1 << 20, 16, 1)
+BASKET_DIMS, BASKETS = 1 << 30, JaccardLsh(1 << 30, 16, 1)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
