@@ -35,6 +35,8 @@ def _term(tbl: Column, hashed: Column, freq: Column | None = None) -> Column:
 
 class HashModel(ABC):
     sparse = False
+    #: About how often hashing a vector runs a lambda in the Column form.
+    steps = 0
 
     @abstractmethod
     def hash_column(self, vec: Column) -> Column:
@@ -65,6 +67,7 @@ class MinHash(HashModel):
         a = [r.next_int(PRIME - 1) for _ in range(L * k)]
         b = [r.next_int(PRIME - 1) for _ in range(L * k)]
         self.L, self.tables = L, [[(a[t * k + j], b[t * k + j]) for j in range(k)] for t in range(L)]
+        self.steps = L * k * 32  # for each index of the vector, of which there may be many
 
     def hash_column(self, vec: Column) -> Column:
         indices = vec["true_indices"]
@@ -116,6 +119,7 @@ class BitSampling(HashModel):
                 raise VectorError(f"Expected [k] to be at most the dimension {dims} but found [{k}]")
             tables = [sample(k) for _ in range(L)]
         self.tables = [sorted(t) for t in tables]
+        self.steps = L * k
 
     def hash_column(self, vec: Column) -> Column:
         indices = vec["true_indices"]
@@ -143,6 +147,7 @@ class Hyperplanes(HashModel):
 
         r = JavaRandom(0)
         self.planes = np.array([[r.next_gaussian() for _ in range(dims)] for _ in range(L * k)], np.float32).reshape(L, k, dims)
+        self.steps = self.planes.size
 
     def hash_column(self, vec: Column) -> Column:
         planes = F.array(*(F.struct(F.lit(t).alias("t"), F.lit([[float(x) for x in p] for p in ps]).cast("array<array<float>>").alias("ps")) for t, ps in enumerate(self.planes)))
@@ -171,6 +176,7 @@ class StableDistributions(HashModel):
         r = JavaRandom(0)
         self.w = w
         self.lines = np.array([[r.next_gaussian() for _ in range(dims)] for _ in range(L * k)], np.float32).reshape(L, k, dims)
+        self.steps = self.lines.size
         self.shifts = np.array([np.float32(r.next_float()) * np.float32(w) for _ in range(L * k)], np.float32).reshape(L, k)
 
     def hash_column(self, vec: Column) -> Column:

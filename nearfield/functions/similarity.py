@@ -35,9 +35,13 @@ def l2(a: Column, b: Column) -> Column:
     return 1 / (1 + F.sqrt(_sum(a, b, lambda x, y: (x - y).cast("double") * (x - y).cast("double"))))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """1 + the cosine; of zero vectors, 2 for two that are equal, else 0."""
-    sizes = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+def size_of(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def cosine(a: Column, b: Column, sizes: Column | None = None) -> Column:
+    """1 + the cosine; of zero vectors, 2 for two that are equal, else 0. sizes: the product of both sizes, if known."""
+    sizes = size_of(a) * size_of(b) if sizes is None else sizes
     return _once(sizes, a, b, body=lambda s, x, y: F.when(s > 0, 1 + dot(x, y) / s).when(x == y, 2.0).otherwise(0.0))
 
 
@@ -119,7 +123,8 @@ def block_scores(kind: Similarity, queries, stored):
 
 
 def row_scores(kind: Similarity, query, stored):
-    """Scores of one query with the rows of a matrix, with the arithmetic of the Column expressions."""
+    """Scores of one query, or of a dense query for each row, with the rows of a matrix, with the arithmetic of the
+    Column expressions."""
     import numpy as np
 
     q, s = np.asarray(query, np.float32), np.asarray(stored, np.float32)

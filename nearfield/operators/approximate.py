@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import HashModel, Term
 from ..functions.similarity import literal, similarity
 from ..vectors import DenseFloat, Similarity, SparseBool
-from .blocks import with_terms
+from .blocks import with_pair_scores, with_terms
 from .exact import BROADCAST_BYTES, ranked, top
 
 POSTINGS = "id, tbl, hash, freq"
@@ -97,5 +97,5 @@ def approximate_join(queries: DataFrame, corpus: DataFrame, postings: DataFrame,
     else:
         chosen = ranked(hits, n_candidates, "qid", "id", "hits").drop("rank")
     stored = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")).where(F.col("_v").isNotNull())
-    scored = chosen.join(stored, "id").join(q, "qid").select("qid", "id", "hits", similarity(kind, F.col("_q"), F.col("_v")).alias("score"))
-    return ranked(scored, k)
+    scored = with_pair_scores(chosen.join(stored, "id").join(q, "qid").select("qid", "id", "hits", "_q", "_v"), kind, "_q", "_v")
+    return ranked(scored.select("qid", "id", "hits", "score"), k)

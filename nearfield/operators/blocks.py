@@ -11,9 +11,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.hashing import TERMS, HashModel, StableDistributions
+from ..functions.similarity import row_scores, similarity
+from ..vectors import Similarity
 
-#: Numbers in the literals of a hash expression from which Arrow batches take over: plans stay small.
-LITERALS = 8192
+#: Steps of hashing a vector from which NumPy takes over from expressions, which run a lambda for each step.
+STEPS = 256
 
 
 def dense_matrix(column: pa.Array):
@@ -55,9 +57,7 @@ def with_terms(df: DataFrame, vec_col: str, model: HashModel, into: str = "terms
     """df with one more column: the terms of each vector. Small models hash in the JVM, large ones and probes in NumPy."""
     import numpy as np
 
-    tables = getattr(model, "planes", getattr(model, "lines", None))
-    numbers = tables.size if tables is not None else sum(len(t) for t in getattr(model, "tables", []))
-    if not probes and numbers <= LITERALS:
+    if not probes and model.steps <= STEPS:
         return df.withColumn(into, model.hash_column(F.col(vec_col)))
     at = df.columns.index(vec_col)
     schema = T.StructType([*df.schema, T.StructField(into, T._parse_datatype_string(TERMS))])
@@ -76,3 +76,19 @@ def with_terms(df: DataFrame, vec_col: str, model: HashModel, into: str = "terms
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(terms, arrow.field(into).type)], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def with_pair_scores(df: DataFrame, kind: Similarity, query_col: str, vec_col: str, into: str = "score") -> DataFrame:
+    """df with the score of each row's two vectors, which aren't null; sparse ones by an expression."""
+    if kind.sparse:
+        return df.withColumn(into, similarity(kind, F.col(query_col), F.col(vec_col)))
+    q_at, v_at = df.columns.index(query_col), df.columns.index(vec_col)
+    schema = T.StructType([*df.schema, T.StructField(into, T.DoubleType())])
+    arrow = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = row_scores(kind, dense_matrix(b.column(q_at)), dense_matrix(b.column(v_at))) if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], schema=arrow)
+
+    return df.mapInArrow(run, schema)

@@ -43,7 +43,7 @@ def test_three_forms_agree(spark, mapping, monkeypatch):
     model = h.model_of(mapping)
     terms = lambda d: {r["id"]: None if r["terms"] is None else [(t["tbl"], tuple(t["hash"]), t["freq"]) for t in r["terms"]] for r in d.collect()}
     in_jvm = terms(df.withColumn("terms", model.hash_column(F.col("vec"))))
-    monkeypatch.setattr("nearfield.operators.blocks.LITERALS", -1)
+    monkeypatch.setattr("nearfield.operators.blocks.STEPS", -1)
     assert terms(with_terms(df, "vec", model)) == in_jvm and in_jvm[5] is None
     for i, row in enumerate(x):
         if i != 5:
