@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..errors import VectorError
 from ..functions.similarity import block_scores, cosine, literal, row_scores, similarity, size_of
 from ..vectors import DenseFloat, Similarity, SparseBool
 from .blocks import pack
@@ -127,7 +126,3 @@ def within(corpus: DataFrame, query: DenseFloat | SparseBool, kind: Similarity |
     """id, score of all rows that score at least min_score."""
     return with_score(corpus, query, kind, vec_col).where(F.col("score") >= min_score).select(id_col, "score")
 
-
-def require_k(k: int) -> None:
-    if k < 0:
-        raise VectorError(f"Expected [k] to be at least 0 but found [{k}]")

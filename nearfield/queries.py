@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions.hashing import model_of
 from .functions.similarity import literal, similarity
-from .mapping import CosineLsh, DenseFloatMapping, HammingLsh, JaccardLsh, L2Lsh, Mapping, PermutationLsh, SparseBoolMapping
+from .mapping import CosineLsh, DenseFloatMapping, HammingLsh, JaccardLsh, L2Lsh, Mapping, PermutationLsh
 from .operators import approximate as approx
 from .operators import exact, scoring, transform
 from .vectors import DenseFloat, Similarity, SparseBool
@@ -158,7 +158,7 @@ def exists_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_top_sql("cosine").replace(f"id = {ASKED}", "id = 7"))
 def pointer_vec_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query vector is a row of the table, by a scalar subquery in the plan."""
+    """The query vector is a stored one, which is read by its id first."""
     df = _dense(spark, sf_dir)
     return _rounded(exact.exact_topk(df, literal(_vector(df, 7)), "cosine", K))
 
