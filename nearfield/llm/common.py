@@ -16,19 +16,20 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 HEAVY = 1000
 
 
+#: The folders of applications that name none.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, or our own where that is unset.
 
     Our own is a temporary folder for a local master and lies in the warehouse, which is shared, for a cluster.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.startswith("local["):
-            base = tempfile.mkdtemp(prefix="nearfield-")
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_nearfield"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    base, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
+    if not base and app not in _OWN:
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        _OWN[app] = tempfile.mkdtemp(prefix="nearfield-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_nearfield"
+    return (base or _OWN[app]).rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:

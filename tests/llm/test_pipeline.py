@@ -53,3 +53,20 @@ def test_queries_against_sql(spark):
 def test_fixed_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "quality_rules", "exact_dedup", "simhash_dedup", "packing"]
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+
+
+def test_shared_folder(spark, monkeypatch):
+    """The session's own setting holds; without one a local session gets a temporary folder, a cluster one in the warehouse."""
+    from types import SimpleNamespace as Fake
+
+    from nearfield.llm.common import shared_dir
+
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+    def session(master, app):
+        return Fake(conf=Fake(get=lambda k, d=None: {"spark.sql.warehouse.dir": "hdfs://w"}.get(k, d)), sparkContext=Fake(master=master, applicationId=app))
+
+    assert shared_dir(session("yarn", "a")) == shared_dir(session("yarn", "a")) == "hdfs://w/_nearfield"
+    assert shared_dir(session("local-cluster[3,2,900]", "b")) == "hdfs://w/_nearfield"
+    first = shared_dir(session("local[4]", "c"))
+    assert "nearfield-" in first and first == shared_dir(session("local[4]", "c"))
