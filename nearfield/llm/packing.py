@@ -3,8 +3,9 @@
 1. Documents are tokenised; the hashed counts of their ids are projected to DIMENSIONS numbers, and those are a cell
    of a grid whose place on the Hilbert curve is the document's key.
 2. The curve is cut into 2^CELL_BITS cells, whose sums of tokens give ranges of cells with about as many tokens each:
-   the parts. A cell that alone holds more is split by the hash of doc_id. Each part is sorted by key in one task, and
-   the parts' sums give where each begins.
+   the parts. A cell that alone holds more is cut by FINER more bits of the key, down to whole keys; rows of one key lie in
+   the order of doc_id's hash, and a key that alone holds more is split by it. Each part is sorted in one task, and
+   the parts' sums give where each begins. So the order doesn't depend on how many parts there are.
 3. Tokens are cut wherever a sequence ends, so the sequences hold neighbours on the curve and are full. What is left
    at the end is cut into sequences of powers of two, which need no padding.
 
@@ -18,16 +19,17 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stash, hash_place
+from .common import Stash, hash_place, let
 
 SEQUENCE, END_ID = 4096, 2
 DIMENSIONS, BITS, BUCKETS = 4, 10, 256
-#: Of the key's bits, those of a cell; and the parts that a task of the shuffle gets, so that tasks are even.
-CELL_BITS, PARTS_A_TASK = 16, 4
+#: Of the key's bits, those of a cell and those that each cut of a heavy cell adds; and the parts that a task of the
+#: shuffle gets, so that tasks are even.
+CELL_BITS, FINER, PARTS_A_TASK = 16, 8, 4
 #: Words that a worker remembers the ids of, twice.
 REMEMBERED = 400_000
 
@@ -201,10 +203,9 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
     return docs.mapInArrow(run, schema)
 
 
-def _ranges(cells: list[tuple[int, int]], wanted: int) -> list[tuple[int, int, int]]:
+def _ranges(cells: list[tuple], target: int) -> list[tuple]:
     """(cell, first part, its parts) for (cell, tokens) in the order of the curve."""
     out, part, held = [], 0, 0
-    target = max(1, -(-sum(t for _, t in cells) // wanted))
     for cell, tokens in cells:
         if held and held + tokens > target:
             part, held = part + 1, 0
@@ -214,6 +215,38 @@ def _ranges(cells: list[tuple[int, int]], wanted: int) -> list[tuple[int, int, i
     return out
 
 
+def _parted(table: DataFrame, wanted: int) -> DataFrame:
+    """table with part: parts follow each other in the order of key, and of doc_id's hash within a key."""
+    spark, all_bits = table.sparkSession, DIMENSIONS * BITS
+
+    def cell(bits: int) -> Column:
+        return F.shiftright("key", all_bits - bits)
+
+    leaves, heavy, target, bits = [], None, 0, CELL_BITS
+    while True:
+        rows = table.select("key", "n_tokens")
+        if heavy is not None:
+            rows = rows.join(F.broadcast(spark.createDataFrame(heavy, "_cell long")), cell(bits - FINER) == F.col("_cell"), "left_semi")
+        # At most 2^CELL_BITS rows at first, and then 2^FINER for each of fewer than `wanted` heavy cells.
+        found = list(map(tuple, rows.groupBy(cell(bits).alias("_cell")).agg(F.sum("n_tokens")).collect()))
+        target = target or max(1, -(-sum(t for _, t in found) // wanted))
+        more = {c for c, t in found if t > target and bits < all_bits}
+        leaves += [((c << (all_bits - bits), bits, c), t) for c, t in found if c not in more]
+        if not more:
+            break
+        heavy, bits = [(c,) for c in more], bits + FINER
+    # Of each cell, where its ranges begin; leaves that follow each other in a part are one range.
+    cells: dict[int, list[tuple]] = {}
+    for (start, _, _), first, parts in _ranges(sorted(leaves), target):
+        ranges = cells.setdefault(start >> (all_bits - CELL_BITS), [])
+        if not ranges or parts > 1 or ranges[-1][1:] != (first, 1):
+            ranges.append((start, first, parts))
+    known = spark.createDataFrame(list(cells.items()), "_cell long, _ranges array<struct<start: long, first: int, parts: int>>")
+    mine = F.element_at(F.filter("_ranges", lambda r: r["start"] <= F.col("key")), -1)
+    inside = let(mine, lambda r: r["first"] + F.least(F.floor(hash_place(F.col("doc_id")) * r["parts"]), r["parts"] - 1).cast("int"))
+    return table.join(F.broadcast(known), cell(CELL_BITS) == F.col("_cell")).select(*table.columns, inside.alias("part"))
+
+
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, end_id: int = END_ID, checksums: bool = False) -> DataFrame:
     """doc_id, start, length, ids, doc_tokens, sequence_id, offset: a row for each piece.
 
@@ -223,12 +256,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     table = Stash(tokenised(rows, tokenizer, end_id), "pack-ids").df
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    celled = table.withColumn("_cell", F.shiftright("key", DIMENSIONS * BITS - CELL_BITS).cast("int"))
-    # At most 2^CELL_BITS rows, and then a row for each part.
-    cells = sorted(map(tuple, celled.groupBy("_cell").agg(F.sum("n_tokens")).collect()))
-    ranges = spark.createDataFrame(_ranges(cells, PARTS_A_TASK * n), "_cell int, _first int, _parts int")
-    part = F.col("_first") + F.floor(hash_place(F.col("doc_id")) * F.col("_parts")).cast("int")
-    parted = celled.join(F.broadcast(ranges), "_cell").withColumn("part", part).drop("_cell", "_first", "_parts")
+    parted = _parted(table, PARTS_A_TASK * n)
     starts, total = {}, 0
     for k, tokens in sorted(map(tuple, parted.groupBy("part").agg(F.sum("n_tokens")).collect())):
         starts[k], total = total, total + tokens
@@ -276,7 +304,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     what = T.StructField("ids_crc32", T.LongType()) if checksums else T.StructField("ids", T.ArrayType(T.IntegerType()))
     schema = T.StructType([rows.schema["doc_id"], *longs[:2], what, *longs[2:]])
     # Rows that are equal in all of these are the same, whichever comes first.
-    order = ["part", "key", "doc_id", F.crc32("ids")]
+    order = ["part", "key", F.xxhash64("doc_id"), "doc_id", F.crc32("ids")]
     return parted.repartition(n, "part").sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids", "part").mapInArrow(run, schema)
 
 

@@ -174,6 +174,29 @@ def test_packed_checksums(documents, odd):
         assert p["ids_crc32"] == crc32(np.array(ids[p["doc_id"], p["sequence_id"], p["offset"]], "<u4").tobytes())
 
 
+def test_packing_keeps_the_order_of_the_curve(spark, documents):
+    """Documents whose keys begin alike, some of them equal, lie in order, however many parts there are."""
+    r = random.Random(12)
+    common = " ".join(r.choice(["the", "cat", "sat", "on", "a", "mat"]) for _ in range(400))
+    rows = [(i, common + " " + " ".join(f"w{r.randint(0, 99)}" for _ in range(r.randint(0, 20)))) for i in range(300)]
+    rows += [(1000 + i, common) for i in range(200)] + [(2000 + i, f"{i} others") for i in range(50)]
+    df = documents(rows)
+    keys = {x["doc_id"]: x["key"] for x in packing.tokenised(df.select("doc_id", "text"), WORDS).collect()}
+    cells = Counter(k >> 24 for k in keys.values())
+    assert max(cells.values()) > 200 and len(set(keys.values())) > 100
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("3", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            pieces = sorted((p["sequence_id"], p["offset"], p["doc_id"], p["start"]) for p in packing.pack(df, WORDS).collect())
+            order = [keys[i] for _, _, i, start in pieces if start == 0]
+            assert len(order) == len(rows) and order == sorted(order)
+            found.append(pieces)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+
+
 def test_nothing_to_pack_encode_or_place(documents):
     import public_tokenizers
 
