@@ -503,14 +503,27 @@ s AS (SELECT c.qid, c.id, c.hits, {_score('jaccard', 'e.vec', 'd.vec')} AS score
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INTEGER AS rank FROM s) SELECT qid, id, hits, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
 def doc_minhash_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document whose id is divisible by 20, the documents with the most similar sets of words."""
+    df = _word_sets(spark, sf_dir)
+    asked = df.where("id % 20 = 0").withColumnRenamed("id", "qid")
+    model = model_of(BASKETS)
+    return _rounded(approx.approximate_join(asked, df, approx.postings_of(df, model), model, "jaccard", 20, 5))
+
+
+@query(f"""{_token_sql()}, s AS (SELECT e.id AS qid, d.id, {_score('jaccard', 'e.vec', 'd.vec')} AS score FROM d, d AS e WHERE e.id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INTEGER AS rank FROM s) SELECT qid, id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
+def doc_jaccard_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What doc_minhash_neighbors looks for, from all documents."""
+    df = _word_sets(spark, sf_dir)
+    return _rounded(exact.knn_join(df.where("id % 20 = 0").withColumnRenamed("id", "qid"), df, "jaccard", 5))
+
+
+def _word_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, vec: the numbers of the words of each document."""
     words = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w")
     found = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), words).where("w <> ''")
     vocabulary = numbered(found.select("w").distinct(), "w")
     sets = found.join(vocabulary, "w").groupBy("id").agg(F.array_sort(F.collect_set(F.col("i").cast("int"))).alias("of"))
-    df = sets.select("id", F.struct(F.col("of").alias("true_indices"), F.lit(BASKET_DIMS).alias("total_indices")).alias("vec"))
-    asked = df.where("id % 20 = 0").withColumnRenamed("id", "qid")
-    model = model_of(BASKETS)
-    return _rounded(approx.approximate_join(asked, df, approx.postings_of(df, model), model, "jaccard", 20, 5))
+    return sets.select("id", F.struct(F.col("of").alias("true_indices"), F.lit(BASKET_DIMS).alias("total_indices")).alias("vec"))
 
 
 def numbered(df: DataFrame, column: str, parts: int = 64) -> DataFrame:

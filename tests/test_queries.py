@@ -59,3 +59,12 @@ def test_recall(spark, mapping, candidates, probes, kind, want):
     assert recall > want - 0.15
     exact = knn_join_blocks(asked, df, kind, 20).collect()
     assert sum(f["score"] >= worst[f["qid"]] - 1e-6 for f in exact) >= 500
+
+
+def test_documents_have_an_exact_join(spark):
+    """The worst of five is as near as it gets: no word sets of other documents score more."""
+    words = {r["id"]: set(r["vec"]["true_indices"]) for r in queries._word_sets(spark, SF).collect()}
+    got = queries.QUERIES["doc_jaccard_neighbors"](spark, SF).collect()
+    for qid in {r["qid"] for r in got}:
+        best = sorted((len(words[qid] & w) / len(words[qid] | w) for w in words.values()), reverse=True)[:5]
+        assert sorted((r["score"] for r in got if r["qid"] == qid), reverse=True) == pytest.approx(best, abs=2e-6)
