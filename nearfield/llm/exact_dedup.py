@@ -8,8 +8,9 @@ were compared:
 3. the winners of the salts, at most SALTS rows a text, merge to one row a text.
 
 The winners then go back to the documents by digest. If one digest ever had two contents, those digests are
-matched by full text as well. Null texts count as empty. Rows that share a doc_id are one document and are kept
-or dropped together; a null doc_id is larger than all others. An empty table gives an empty result.
+matched by full text as well. Null texts count as empty. Verdicts are of rows: of the rows of a text those of the
+smallest doc_id stay, whatever other rows share it; a null doc_id is larger than all others. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -59,5 +60,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the copies, with all columns of docs."""
-    dropped = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["_dropped"]), "left_anti")
+    # A row's verdict follows from its doc_id and its text.
+    copies = exact_dedup(docs, id_col, text_col).where(~F.col("kept"))
+    dropped = copies.select(F.col("doc_id").alias("_dropped"), F.unhex("text_sha256").alias("_dropped_digest")).distinct()
+    digest = F.unhex(F.sha2(normal_text(docs[text_col]), 256))
+    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["_dropped"]) & (digest == dropped["_dropped_digest"]), "left_anti")

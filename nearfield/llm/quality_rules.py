@@ -82,11 +82,11 @@ def host_rates(judged: DataFrame, host: str = "_host") -> DataFrame:
     return hosts.withColumn("rate", (F.col("failed") + F.lit(a)) / (F.col("n") + F.lit(strength)))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """doc_id, the measures, base_failed, host_rate, kept."""
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", marked: bool = False) -> DataFrame:
+    """doc_id, the measures, base_failed, host_rate, kept; with marked, _mark too."""
     text = F.col("_text")
     split = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("_source"), F.col(text_col).alias("_text")).withColumn("_words", words(text))
-    measured = split.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit("")).alias("_host"), *(c.alias(k) for k, c in measures(text).items()))
+    measured = split.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit("")).alias("_host"), *(c.alias(k) for k, c in measures(text).items()), *([row_mark(text, F.col("_source")).alias("_mark")] if marked else []))
     n = F.col("n_words")
     base = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * n)
     mean = F.col("word_chars") / F.greatest(n, F.lit(1))
@@ -94,10 +94,17 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     judged = Stash(measured.withColumn("base_failed", base).withColumn("_fails", base | soft), "quality-measures").df
     rates = host_rates(judged)
     rated = unhot_join(judged, rates.select("_host", "rate", "n"), "_host", "n", judged.count())
-    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rate").alias("host_rate"), (~F.col("base_failed") & (F.col("rate") <= MAX_RATE)).alias("kept"))
+    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rate").alias("host_rate"), (~F.col("base_failed") & (F.col("rate") <= MAX_RATE)).alias("kept"), *(["_mark"] if marked else []))
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """docs without those that the rules reject, with all columns of docs."""
-    rejected = quality_rules(docs, id_col, text_col, host_col).where(~F.col("kept")).select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, docs[id_col].eqNullSafe(rejected["_rejected"]), "left_anti")
+    """docs without those that the rules reject, with all columns of docs; each row by its own verdict."""
+    # A row's verdict follows from its measures and its host, so the row's text and host tell it from others of its doc_id.
+    mark = row_mark(F.col(text_col), F.col(host_col))
+    rejected = quality_rules(docs, id_col, text_col, host_col, marked=True).where(~F.col("kept")).select(F.col("doc_id").alias("_rejected"), F.col("_mark").alias("_rejected_mark")).distinct()
+    return docs.join(rejected, docs[id_col].eqNullSafe(rejected["_rejected"]) & (mark == rejected["_rejected_mark"]), "left_anti")
+
+
+def row_mark(text: Column, host: Column) -> Column:
+    """A digest of a row's text and host; a null text counts as empty, a null host doesn't."""
+    return F.unhex(F.md5(F.concat(F.sha2(F.coalesce(text, F.lit("")), 256), F.coalesce(F.concat(F.lit("="), host), F.lit("")))))

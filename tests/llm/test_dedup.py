@@ -178,3 +178,9 @@ def test_one_of_each_group_keeps_columns(documents):
     df = documents([(5, text), (3, text + " more"), (9, "something else that stands alone")])
     out = simhash.one_of_each_group(df)
     assert out.columns == df.columns and {r["doc_id"] for r in out.collect()} == {3, 9}
+
+
+def test_verdicts_of_rows_that_share_a_doc_id(documents):
+    rows = [(1, "a copy"), (9, "a copy"), (9, "alone"), (None, "a  copy"), (None, "alone too"), (None, None)]
+    got = exact_dedup.distinct_documents(documents(rows)).select("doc_id", "text").collect()
+    assert Counter(map(tuple, got)) == Counter([rows[0], rows[2], rows[4], rows[5]])

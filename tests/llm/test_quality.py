@@ -130,3 +130,10 @@ def test_language_never_reads_held_out_labels(documents, spark):
     got = {r["doc_id"]: r for r in language_id.language_id(documents(rows, lang=lambda i: "wrong" if held(i) else "a" if i % 2 else "x")).collect()}
     assert all(got[i]["lang_pred"] == ("a" if i % 2 else "x") for i in range(120))
     assert got[500]["lang_pred"] == got[501]["lang_pred"] == "und" and got[500]["score"] == 0
+
+
+def test_rules_judge_rows_that_share_a_doc_id(documents):
+    good = [" ".join(f"word{i}{n}" for n in range(30)) for i in range(8)]
+    rows = [(i, t) for i, t in enumerate(good)] + [(0, "too short"), (None, "short"), (None, good[0] + " more")]
+    got = quality_rules.kept_documents(documents(rows)).select("doc_id", "text").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [*rows[:8], rows[10]]))
