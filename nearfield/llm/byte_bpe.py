@@ -2,14 +2,19 @@
 
 1. Texts are split into pre-tokens with their positions. A block of documents keeps its texts as sequences of word
    numbers, so what is shuffled is each distinct word of a block, with the block that it goes back to.
-2. Words meet by hash bucket. A task encodes each distinct word of its bucket once.
+2. Words meet by hash bucket. A task encodes each distinct word of its bucket once, as long as it remembers it.
 3. The ids go back to the blocks, where they take the words' positions again.
 
+Blocks stand for the rows that an explode would make, one for each pre-token with its document and position: as rows
+those take several times the input on disk, where blocks take about once the entropy of the words (README has figures).
 A block is BLOCK_BYTES of text or one longer text; a bucket has about as many distinct words as others, since a word
-counts once a block however frequent it is. Decoding maps ids to bytes by the token-byte table of the rank file.
+counts once a block however frequent it is. There are as many buckets as the input's size asks for, and a task remembers
+at most twice REMEMBERED words; one that comes again after that is encoded again. Decoding looks ids up in the token-byte
+table of the rank file, which is as large as the vocabulary, whatever the input, and so is broadcast.
 
-Null texts encode like empty ones, to no ids. Rows are encoded one by one, so repeated doc_ids are fine. An empty
-table gives an empty result.
+Null texts encode like empty ones, to no ids. Texts of any length are encoded whole, each in one worker. Rows are encoded
+one by one, so repeated doc_ids are fine. Only the two named columns of docs are read, whatever the names of others. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bucketed
+from .common import Bucketed, parts_for
 
 BLOCK_BYTES = 4 << 20
 BLOCK_DOCS = 5000
+#: Words that a task remembers the ids of, twice.
+REMEMBERED = 400_000
 
 
 @lru_cache(maxsize=2)
@@ -85,12 +92,12 @@ def _unpack(packed: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def _pack_ids(ids: list) -> bytes:
-    """Arrays of ids: their lengths as _pack() has them, then all ids."""
+def _pack_ids(ids: list[bytes]) -> bytes:
+    """Ids of 4 bytes each: their numbers as _pack() has lengths, then all ids."""
     import numpy as np
 
-    lengths = _squeeze([len(x) for x in ids])
-    return len(lengths).to_bytes(4, "little") + lengths + _squeeze(np.concatenate([np.zeros(0, "<u4"), *ids]))
+    lengths = _squeeze([len(x) // 4 for x in ids])
+    return len(lengths).to_bytes(4, "little") + lengths + _squeeze(np.frombuffer(b"".join(ids), "<u4"))
 
 
 def _unpack_ids(packed: bytes) -> list[bytes]:
@@ -154,36 +161,38 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _encode_buckets(words: DataFrame, ranks: str, pattern: str, buckets: int) -> DataFrame:
+def _encode_buckets(words: DataFrame, ranks: str, pattern: str, buckets: int, remembered: int = REMEMBERED) -> DataFrame:
     """block, bucket, ids: for the words of the row, in order, each word's ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        encode, known, last = _encoding(ranks, pattern).encode_ordinary, {}, None
+        encode = _encoding(ranks, pattern).encode_ordinary
+        known: dict[bytes, bytes] = {}
+        older: dict[bytes, bytes] = {}
         for b in batches:
             packed = []
-            for bucket, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if bucket != last:
-                    known, last = {}, bucket
-                parts = _unpack(blob)
-                for w in parts:
-                    if w not in known:
-                        known[w] = np.array(encode(w.decode()), "<u4")
-                packed.append(_pack_ids([known[w] for w in parts]))
+            for blob in b.column(2).to_pylist():
+                ids = []
+                for w in _unpack(blob):
+                    if (found := known.get(w)) is None:
+                        if len(known) >= remembered:
+                            known, older = {}, known
+                        found = known[w] = older.get(w) or np.array(encode(w.decode()), "<u4").tobytes()
+                    ids.append(found)
+                packed.append(_pack_ids(ids))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], ["block", "bucket", "ids"])
 
-    met = words.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
+    met = words.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "block")
     return met.mapInArrow(run, "block long, bucket int, ids binary")
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids: the ids as 4 bytes each, little-endian, as array_of_ids() reads them."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = parts_for(rows)
     # Bucketed by block, so what goes back to the blocks is shuffled, not the blocks. All large fields are compressed.
-    parts = bucketed(_blocks(rows, pattern, buckets), "bpe-blocks", "block", buckets, codec="uncompressed")
+    parts = Bucketed(_blocks(rows, pattern, buckets), "bpe-blocks", "block", buckets, codec="uncompressed").df
     words = parts.where("bucket IS NOT NULL").select("block", "bucket", "words")
     encoded = _encode_buckets(words, ranks, pattern, buckets)
     texts = parts.where("bucket IS NULL").select("block", "words", "doc_ids", "counts", "places")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import parts_for, scratch_root  # noqa: F401
+
 #: White space of every text contract: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -19,53 +22,103 @@ HEAVY = 1000
 #: The folders of applications that name none.
 _OWN: dict[str, str] = {}
 
+#: What was written in each open scratch(), the innermost last.
+_OPEN: list[list] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, or our own where that is unset.
 
-    Our own is a temporary folder for a local master and lies in the warehouse, which is shared, for a cluster.
+    Our own is chosen once an application.
     """
     base, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not base and app not in _OWN:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        _OWN[app] = tempfile.mkdtemp(prefix="nearfield-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_nearfield"
+        _OWN[app] = scratch_root(spark)
     return (base or _OWN[app]).rstrip("/")
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are written inside go at its end, so results that read them must be written inside it too."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for table in _OPEN.pop():
+            table.drop()
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/nearfield/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+#: For tables on a local or mounted file system: without the checksum files beside them, for each of which the writer
+#: starts processes of its own. Parquet has checksums of its pages. Other file systems take no notice.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 class Stash:
-    """A table written to the shared folder: cuts lineage, and outlives any executor."""
+    """A table written to the shared folder: cuts lineage, and outlives any executor; with keep, an open scratch() too."""
 
-    def __init__(self, df: DataFrame, label: str, partition_by: str | None = None, codec: str = "zstd"):
+    def __init__(self, df: DataFrame, label: str, partition_by: str | None = None, codec: str = "zstd", keep: bool = False):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, label)
         self._schema = df.schema
-        writer = df.write.option("compression", codec)
+        writer = df.write.option("compression", codec).options(**_PLAIN_FILES)
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path)
+        if _OPEN and not keep:
+            _OPEN[-1].append(self)
 
     @property
     def df(self) -> DataFrame:
         return self.spark.read.schema(self._schema).parquet(self.path)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path)
+
+
+class Bucketed:
+    """A table like a stash whose files are dealt by a key: joins and groups by it don't shuffle it."""
+
+    def __init__(self, df: DataFrame, label: str, key: str, buckets: int, sort: bool = False, codec: str = "zstd"):
+        self.spark, self.path = df.sparkSession, new_path(df.sparkSession, label)
+        self.name = "nearfield_" + self.path.rsplit("-", 1)[1]
+        writer = df.write.option("compression", codec).options(path=self.path, **_PLAIN_FILES).bucketBy(buckets, key)
+        (writer.sortBy(key) if sort else writer).saveAsTable(self.name)
+        if _OPEN:
+            _OPEN[-1].append(self)
+
+    @property
+    def df(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        _delete(self.spark, self.path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
     return Stash(df, label).df
 
 
-def bucketed(df: DataFrame, label: str, key: str, buckets: int, sort: bool = False, codec: str = "zstd") -> DataFrame:
-    """A table like a stash whose files are dealt by a key: joins and groups by it don't shuffle it."""
-    path = new_path(df.sparkSession, label)
-    name = "nearfield_" + path.rsplit("-", 1)[1]
-    writer = df.write.option("compression", codec).option("path", path).bucketBy(buckets, key)
-    (writer.sortBy(key) if sort else writer).saveAsTable(name)
-    return df.sparkSession.table(name)
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered_rows(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """A table of docs with one more column, a number of each row, and that column's name. Numbers are written down, so
+    they are the same in all that reads them."""
+    row = fresh(docs, "_row")
+    return stash(docs.withColumn(row, F.monotonically_increasing_id()), label), row
 
 
 def hash_place(c: Column) -> Column:

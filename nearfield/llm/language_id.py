@@ -1,14 +1,17 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 A text is cut into windows of WINDOW bytes, which one network reads from both ends; every position gets probabilities
-of the languages, and a document's are the mean over all its positions. The network is trained here, in numpy, by
-backpropagation through time, on windows of a bounded sample of documents with a language: DOCS_PER_LANGUAGE a
-language, the first by hash, and at most DOCS_IN_ALL. Both bounds hold at every size of input; predictions read
-whole texts.
+of the languages, and a document's are the mean over all its positions. The state starts anew in each window.
+
+The network is trained here, in numpy, by backpropagation through time, on a bounded sample of rows with a language:
+DOCS_PER_LANGUAGE a language, the first by the hash of doc_id, and at most DOCS_IN_ALL. Of these the whole texts are
+learned from: each of STEPS steps draws BATCH of all their windows. The bounds hold at every size of input, and the
+sample's rows alone decide the model, whatever the partitions. Predictions read whole texts.
 
 Documents with crc32(doc_id as text) mod FOLDS equal to HELD_OUT are never learned from. Null texts and texts without
-a letter are `und` with score 0, and so is all where nothing can be learned. Rows are judged one by one, so repeated
-doc_ids are fine. An empty table gives an empty result.
+a letter are `und` with score 0, and so is all where nothing can be learned. A text of any length is read AT_ONCE windows
+at a time in one worker. Rows are judged one by one, so repeated doc_ids are fine. Only the three named columns of docs
+are read, whatever the names of others. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ from pyspark.sql import types as T
 from .common import hash_place, share_for, unhot_join
 
 FOLDS, HELD_OUT = 4, 2
-DOCS_PER_LANGUAGE, DOCS_IN_ALL, WINDOWS_PER_DOC = 400, 4000, 6
+DOCS_PER_LANGUAGE, DOCS_IN_ALL = 400, 4000
 WINDOW, HIDDEN = 64, 8
+STEPS, BATCH = 450, 256
 #: Windows that are read at a time, which bounds a worker's memory.
 AT_ONCE = 1024
 #: The byte that fills a text's last window. Its positions do not count.
@@ -138,27 +142,24 @@ class Network:
                 dh = dh * (1 - z) + u.T @ ds
         return g, loss
 
-    def train(self, x, label, epochs: int = 12, batch: int = 256, rate: float = 0.02, seed: int = 0) -> list[float]:
-        """Adam, with languages in equal shares; returns the mean loss of each epoch."""
+    def train(self, x, label, steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 0) -> list[float]:
+        """Adam, with languages in equal shares of each step's windows; returns the loss of each step."""
         import numpy as np
 
         r = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        shares = 1 / np.bincount(label, minlength=len(self.languages))[label]
-        losses, t, steps = [], 0, max(1, len(x) // batch)
-        for epoch in range(epochs):
-            losses.append(0.0)
-            now = rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
-            for _ in range(steps):
-                some = r.choice(len(x), min(batch, len(x)), p=shares / shares.sum())
-                g, loss = self.gradients(x[some], label[some])
-                losses[-1] += loss / steps
-                t += 1
-                size = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
-                for k, a in g.items():
-                    a = a * min(1.0, 1.0 / max(size, 1e-9))
-                    m[k], v[k] = 0.9 * m[k] + 0.1 * a, 0.99 * v[k] + 0.01 * a * a
-                    self.p[k] = (self.p[k] - now * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+        of = [np.flatnonzero(label == k) for k in range(len(self.languages))]
+        losses: list[float] = []
+        for t in range(1, steps + 1):
+            now = rate * 0.5 * (1 + np.cos(np.pi * (t - 1) / steps))
+            some = np.array([of[k][r.integers(len(of[k]))] for k in r.integers(len(of), size=batch)])
+            g, loss = self.gradients(x[some].astype(np.int16), label[some])
+            losses.append(loss)
+            size = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
+            for k, a in g.items():
+                a = a * min(1.0, 1.0 / max(size, 1e-9))
+                m[k], v[k] = 0.9 * m[k] + 0.1 * a, 0.99 * v[k] + 0.01 * a * a
+                self.p[k] = (self.p[k] - now * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
         return losses
 
     def predict(self, texts: list[bytes]):
@@ -196,33 +197,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     usable = rows.where(F.col("_lang").isNotNull() & (F.length("_text") > 0) & ~held_out(F.col("doc_id")))
-    ids = usable.select("doc_id", "_lang")
-    counts = ids.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
+    counts = usable.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).first()[0] or 0
     # The first of a language by hash are looked for among few, so no task sorts all of a large one.
-    near = unhot_join(ids, counts, "_lang", "_n", total).where(hash_place(F.col("doc_id")) <= share_for(DOCS_PER_LANGUAGE, F.col("_n")))
-    by_hash = Window.partitionBy("_lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    near = unhot_join(usable, counts, "_lang", "_n", total).where(hash_place(F.col("doc_id")) <= share_for(DOCS_PER_LANGUAGE, F.col("_n")))
+    by_hash = Window.partitionBy("_lang").orderBy(F.xxhash64("doc_id"), "doc_id", "_text")
     first = near.withColumn("_rank", F.row_number().over(by_hash)).where(F.col("_rank") <= DOCS_PER_LANGUAGE)
-    ids = first.orderBy("_rank", "_lang").limit(DOCS_IN_ALL).select("doc_id").distinct()
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found, langs = [], []
-            for t, lang in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist()):
-                starts = range(0, len(t), max(WINDOW, -(-len(t) // WINDOWS_PER_DOC)))
-                found += [windows_of(t[i : i + WINDOW])[0].tobytes() for i in starts]
-                langs += [lang] * len(starts)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(langs, pa.string())], ["x", "lang"])
-
-    # At most DOCS_IN_ALL ids; more rows than that only where doc_ids repeat.
-    chosen = usable.join(F.broadcast(ids), "doc_id", "left_semi").limit(DOCS_IN_ALL)
-    found = sorted(map(tuple, chosen.select("_text", "_lang").mapInArrow(cut, "x binary, lang string").collect()))
+    # At most DOCS_IN_ALL rows, whole texts, as the sample that they are.
+    found = sorted((r["_lang"], r["_text"].encode()) for r in first.orderBy("_rank", "_lang").limit(DOCS_IN_ALL).select("_lang", "_text").collect())
     if not found:
         return None
-    languages = sorted({lang for _, lang in found})
+    languages = sorted({lang for lang, _ in found})
     net = Network(languages)
-    x = np.stack([np.frombuffer(w, np.int16) for w, _ in found])
-    net.train(x, np.array([languages.index(lang) for _, lang in found]))
+    x = [windows_of(t) for _, t in found]
+    net.train(np.concatenate(x), np.repeat([languages.index(lang) for lang, _ in found], [len(w) for w in x]))
     return net
 
 

@@ -7,8 +7,11 @@ in the batch are counted on, as their counts steer the last join), and adds its
 When a level holds FANOUT runs they are compacted into one run of the next level. Documents come in batches of
 descending doc_id, so most common lines settle in the first batches.
 
-Null and empty texts have one empty line. Rows that share a doc_id count as several documents, and a line's keeper
-is then all of them; a null doc_id is smaller than all others. An empty table gives an empty result.
+Null and empty texts have one empty line. Rows that share a doc_id are one document when lines are counted, and all of
+them keep a line whose keeper they are; rows without a doc_id are one document too, with a smaller id than all others.
+doc_ids are whole numbers. Texts of any length are split in their own row, of which the distinct long lines' digests are
+held at once; columns of docs other than the two named ones are not read, whatever their names. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HEAVY, SPACE, Stash, ascii_lower, bucketed, unhot_join
+from .common import HEAVY, SPACE, Bucketed, Stash, ascii_lower, parts_for, unhot_join
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Batches of one call, and the runs of a level that are compacted.
@@ -39,16 +42,16 @@ def _lines(text: Column) -> Column:
 
 
 class LineRuns:
-    """The levels. add() takes batches (_key, doc_id) without repeats inside a document, in any order."""
+    """The levels. add() takes batches (_key, doc_id) without repeats, and a document's in one batch, in any order."""
 
-    def __init__(self, spark, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
+    def __init__(self, spark, min_docs: int = MIN_DOCS, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = [[]]
 
     def _write(self, run: DataFrame) -> DataFrame:
         """Sorted and bucketed by key, so merges of runs neither shuffle nor sort them again."""
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return bucketed(run.repartition(n, "_key"), "line-run", "_key", n, sort=True)
+        return Bucketed(run.repartition(self.buckets, "_key"), "line-run", "_key", self.buckets, sort=True).df
 
     def merged(self) -> DataFrame | None:
         """One row for each line of all runs."""
@@ -99,8 +102,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     width = max(1, -(-((high or 0) - (low or 0) + 1) // batches))
     batch = F.coalesce(F.floor((F.lit(high) - F.col("doc_id")) / F.lit(width)).cast("int"), F.lit(batches - 1)) if high is not None else F.lit(0)
     keys = F.array_distinct(F.filter(F.transform(_lines(F.col("_text")), lambda x: _digest(x, min_chars)), lambda k: k.isNotNull()))
-    pairs = Stash(docs.select("doc_id", batch.alias("_batch"), F.explode(keys).alias("_key")), "line-keys", partition_by="_batch").df
-    runs = LineRuns(spark, min_docs)
+    # Distinct, as rows that share a doc_id are one document; so a key has as many rows here as documents.
+    pairs = Stash(docs.select("doc_id", batch.alias("_batch"), F.explode(keys).alias("_key")).distinct(), "line-keys", partition_by="_batch").df
+    runs = LineRuns(spark, min_docs, buckets=parts_for(docs))
     for k in range(batches):
         runs.add(pairs.where(F.col("_batch") == k).select("_key", "doc_id"))
     common, total = Stash(runs.common(), "line-common").df, pairs.count()

@@ -9,8 +9,10 @@
 3. Tokens are cut wherever a sequence ends, so the sequences hold neighbours on the curve and are full. What is left
    at the end is cut into sequences of powers of two, which need no padding.
 
-Null texts are empty: they hold the end token alone. Rows are packed one by one, so repeated doc_ids are fine. An
-empty table gives an empty result.
+Null texts are empty: they hold the end token alone. Texts of any length are tokenised whole, each in one worker, and cut
+into as many pieces as sequences they reach into. Rows are packed one by one, so repeated doc_ids are fine; rows of one
+key and one doc_id lie in one part. Only the two named columns of docs are read, whatever the names of others. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stash, hash_place, let
+from .common import Stash, hash_place, let, parts_for
 
 SEQUENCE, END_ID = 4096, 2
 DIMENSIONS, BITS, BUCKETS = 4, 10, 256
@@ -53,12 +55,15 @@ LETTERS_APART = ({"NFC", "Replace", "Lowercase"}, r"'s|'t|'re|'ve|'m|'ll|'d|[\p{
 
 
 class WordEncoder:
-    """Texts to ids, each id as a fixed number of bytes, for tokenizers that drop white space: the ids of a text are
-    those of its words in order. Only ASCII white space splits words here, as it never is part of a token.
+    """Texts to ids, each id as a fixed number of bytes.
 
-    Words are remembered in two generations of about `remembered` each; when the younger is full, the older goes.
-    Where the tokenizer sets letters apart, a plain word's letters go straight to the model, lower-cased, and its marks
-    are another piece. Other new words are encoded many at a time, as one text with marks between them.
+    Tokenizers of the form LETTERS_APART drop white space, so the ids of a text are those of its words in order. Only
+    ASCII white space splits words here, as it never is part of a token. Words are remembered in two generations of about
+    `remembered` each; when the younger is full, the older goes. A plain word's letters go straight to the model,
+    lower-cased, and its marks are another piece. Other new words are encoded many at a time, as one text with marks
+    between them.
+
+    Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str, kind: str, remembered: int = REMEMBERED):
@@ -117,8 +122,7 @@ class WordEncoder:
     def _learn(self, new: list[bytes]) -> None:
         import numpy as np
 
-        if self.plain:
-            new = self._learn_plain(new)
+        new = self._learn_plain(new)
         joined = [w for w in new if MARK not in w] if len(self.mark) == 1 else []
         size = self.size
         for i in range(0, len(joined), 2000):
@@ -131,6 +135,8 @@ class WordEncoder:
             self.known.update((w, self._ids(w).tobytes()) for w in new if w not in self.known)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if self.plain is None:
+            return [self._ids(t).tobytes() for t in texts]
         found = [t.split() for t in texts]
         words = set().union(*found)
         new = words.difference(self.known)
@@ -252,10 +258,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     ids is an array of ints. With checksums there is ids_crc32 instead, of the ids as little-endian 32-bit numbers.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    n = parts_for(rows)
     table = Stash(tokenised(rows, tokenizer, end_id), "pack-ids").df
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parted = _parted(table, PARTS_A_TASK * n)
     starts, total = {}, 0
     for k, tokens in sorted(map(tuple, parted.groupBy("part").agg(F.sum("n_tokens")).collect())):

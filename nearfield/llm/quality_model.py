@@ -4,11 +4,14 @@
 2. Expectation-maximisation over the counts of all vote patterns (at most 3 to the number of labellers, however many
    documents there are) estimates how often each labeller votes which way on clean and on junk documents, and from
    that the probability that a pattern's documents are clean.
-3. Those probabilities of SAMPLE documents, the first by hash, train a linear scorer over hashed features: byte
+3. Those probabilities of SAMPLE rows, the first by the hash of doc_id, train a linear scorer over hashed features: byte
    trigrams by their frequency, and the document's statistics by steps. It scores every document by its whole text.
 
-Null texts count as empty; an empty text has no trigrams and gets what its statistics say. Rows are scored one by
-one, so repeated doc_ids are fine. An empty table gives an empty result.
+The sample is taken and trained on in an order that its rows alone decide, so neither partitions nor retries change a
+score. Null texts count as empty; an empty text has no trigrams and gets what its statistics say. Texts of any length
+are read whole, each in one worker. Rows are scored one by one, so repeated doc_ids are fine. Only the two named columns
+reach Python; all columns of docs come back from clean_documents(), whatever their names. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -18,10 +21,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import hash_place, share_for
+from .common import fresh, hash_place, share_for
 
 JUNK, NONE, CLEAN = -1, 0, 1
 SAMPLE = 4000
@@ -75,9 +76,11 @@ def vote(n: int, stats: dict[str, float]) -> tuple[int, ...]:
 def expectation_maximisation(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> dict[tuple[int, ...], float]:
     """The probability that a pattern's documents are clean.
 
-    Of the labellers that vote, how many vote which way has a prior for each class: a vote for the class is more
-    likely than one against it. So the classes keep their meaning, also where all documents are of one. No vote says
-    nothing: a document that no labeller votes on is as likely clean as any.
+    Labellers vote independently, given the class. Of those that vote, how many vote which way has a prior for each class: a vote for the class is more
+    likely than one against it. So the classes keep their meaning, also where all documents are of one. On clean documents
+    a labeller's votes for junk are at most MOST_WRONG of all; a round takes the likeliest rates within that, which are
+    the bound and the rest where the bound is exceeded. No vote says nothing: a document that no labeller votes on is as
+    likely clean as any.
     """
     import numpy as np
 
@@ -94,7 +97,8 @@ def expectation_maximisation(patterns: dict[tuple[int, ...], int], rounds: int =
             counts = np.einsum("p,plv->lv", n * p, votes) + prior[c]
             rate = counts / counts.sum(axis=1, keepdims=True)
             if c:
-                rate = np.clip(rate, None, [MOST_WRONG, 1])
+                wrong = np.minimum(rate[:, 0], MOST_WRONG)
+                rate = np.stack([wrong, 1 - wrong], axis=1)
             log.append(np.log(((n * p).sum() + 1 + 8 * c) / (n.sum() + 10)) + np.einsum("plv,lv->p", votes, np.log(rate)))
         before, clean = clean, 1 / (1 + np.exp(np.clip(log[1] - log[0], -50, 50)))
         if np.abs(clean - before).max() < 1e-6:
@@ -162,19 +166,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
     counts = rows.select("_text").mapInArrow(votes, "votes array<tinyint>").groupBy("votes").count().collect()
     clean = expectation_maximisation({tuple(r["votes"]): r["count"] for r in counts})
-    near = rows.select("doc_id").where(hash_place(F.col("doc_id")) <= share_for(sample, sum(r["count"] for r in counts)))
-    ids = near.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    near = rows.where(hash_place(F.col("doc_id")) <= share_for(sample, sum(r["count"] for r in counts)))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = _texts(b, 0)
+            texts = _texts(b, 1)
             places, values = zip(*map(features, texts)) if texts else ((), ())
             columns = [pa.array([x.tobytes() for x in c], pa.binary()) for c in (places, values)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([clean[vote(*statistics(t))] for t in texts], pa.float64())], ["places", "features", "y"])
+            y = pa.array([clean[vote(*statistics(t))] for t in texts], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, y], ["place", "places", "features", "y"])
 
-    # At most `sample` ids; more rows than that only where doc_ids repeat.
-    chosen = rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").limit(sample)
-    found = chosen.select("_text").mapInArrow(vectors, "places binary, features binary, y double").collect()
+    # Few rows have these hashes; what is sorted and cut are their features, whatever the texts' lengths.
+    hashed = near.select(F.xxhash64("doc_id").alias("place"), "_text").mapInArrow(vectors, "place long, places binary, features binary, y double")
+    found = hashed.orderBy("place", "places", "features", "y").limit(sample).collect()
     if not found:
         return np.zeros(FEATURES + 1, np.float32), clean
     x, y = np.zeros((len(found), FEATURES + 1), np.float32), np.array([r["y"] for r in found], np.float32)
@@ -187,27 +191,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
 def with_scores(docs: DataFrame, weights, text_col: str = "text", into: str = "score") -> DataFrame:
     """docs with one more column: the probability that the text is clean."""
-    at = docs.columns.index(text_col)
     w = docs.sparkSession.sparkContext.broadcast(weights)  # FEATURES + 1 numbers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         of = w.value
-        trigrams, rest, bias = of[:TRIGRAMS], of[:FEATURES], float(of[FEATURES])
+        return pa.array([score_of(t or b"", of) for t in texts.cast(pa.binary()).to_pylist()], pa.float64())
 
-        def one(t: bytes) -> float:
-            s = bias + float(rest[statistic_features(*statistics(t))].sum())
-            if len(t) > 2:
-                s += TRIGRAM_SCALE * float(trigrams[trigram_places(t)].mean(dtype=np.float64))
-            return 1 / (1 + float(np.exp(-np.clip(s, -50, 50))))
+    return docs.withColumn(into, score(F.col(text_col)))
 
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(one, _texts(b, at)), pa.float64())], schema=arrow)
 
-    schema = T.StructType([*docs.schema, T.StructField(into, T.DoubleType())])
-    arrow = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
-    return docs.mapInArrow(run, schema)
+def score_of(text: bytes, weights) -> float:
+    import numpy as np
+
+    s = float(weights[FEATURES]) + float(weights[statistic_features(*statistics(text))].sum())
+    if len(text) > 2:
+        s += TRIGRAM_SCALE * float(weights[:TRIGRAMS][trigram_places(text)].mean(dtype=np.float64))
+    return 1 / (1 + float(np.exp(-np.clip(s, -50, 50))))
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -220,7 +220,5 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that the scorer rejects, with all columns of docs."""
     weights, _ = fit(docs, id_col, text_col, sample)
-    into = "_score"
-    while into in docs.columns:
-        into = "_" + into
-    return with_scores(docs, weights, text_col, into).where(F.col(into) >= threshold).drop(into)
+    into = fresh(docs, "_score")
+    return with_scores(docs, weights, text_col, into).where(F.col(into) >= threshold).select(*docs.columns)

@@ -8,8 +8,10 @@ a host whose shrunk rate is over MAX_RATE loses all its documents.
 
 Host verdicts go back without shuffling hot hosts: those are few by definition and broadcast.
 
-Null texts have no words and fail. A null host is a host of its own. Rows are judged one by one; an empty table
-gives an empty result.
+Null texts have no words and fail. A null host is a host of its own. Rows are judged one by one, so repeated doc_ids are
+fine. A text of any length is measured whole, and its words and windows are held in its row meanwhile. Only the three
+named columns of docs are read; all come back from kept_documents(), whatever their names. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -83,7 +85,7 @@ def host_rates(judged: DataFrame, host: str = "_host") -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", marked: bool = False) -> DataFrame:
-    """doc_id, the measures, base_failed, host_rate, kept; with marked, _mark too."""
+    """doc_id, the measures, base_failed, host, host_rate (the shrunk one), kept; with marked, _mark too."""
     text = F.col("_text")
     split = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("_source"), F.col(text_col).alias("_text")).withColumn("_words", words(text))
     measured = split.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit("")).alias("_host"), *(c.alias(k) for k, c in measures(text).items()), *([row_mark(text, F.col("_source")).alias("_mark")] if marked else []))
@@ -94,7 +96,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     judged = Stash(measured.withColumn("base_failed", base).withColumn("_fails", base | soft), "quality-measures").df
     rates = host_rates(judged)
     rated = unhot_join(judged, rates.select("_host", "rate", "n"), "_host", "n", judged.count())
-    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rate").alias("host_rate"), (~F.col("base_failed") & (F.col("rate") <= MAX_RATE)).alias("kept"), *(["_mark"] if marked else []))
+    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(F.col("_host") != "", F.substr("_host", F.lit(2))).alias("host"), F.col("rate").alias("host_rate"), (~F.col("base_failed") & (F.col("rate") <= MAX_RATE)).alias("kept"), *(["_mark"] if marked else []))
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:

@@ -65,7 +65,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(_table(spark, sf_dir, "documents")).drop("host_rate")
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,8 +118,8 @@ ORACLE_SQL = {
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, r, generate_subscripts(lines, 1) AS i, unnest(lines) AS line FROM d),
 k AS (SELECT *, translate(regexp_replace(line, '^{_WS}|{_WS}$', '', 'g'), '{_UPPER}', '{_LOWER}') AS key FROM l),
-c AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
-j AS (SELECT k.*, c.key IS NULL OR k.doc_id = c.keeper AS stays FROM k LEFT JOIN c USING (key))
+c AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT coalesce(doc_id::VARCHAR, '')) >= 5),
+j AS (SELECT k.*, c.key IS NULL OR k.doc_id IS NOT DISTINCT FROM c.keeper AS stays FROM k LEFT JOIN c USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '')) AS kept_sha256
 FROM j GROUP BY r, doc_id""",
@@ -141,7 +141,7 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITI
     "op8_exact_dedup": f"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_WS}', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+       row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY t)""",
     "op9_quality_rules": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS t FROM documents),
@@ -158,7 +158,7 @@ h AS (SELECT host, count(*)::DOUBLE AS n, count(*) FILTER (fails)::DOUBLE AS fai
 s AS (SELECT sum(n) AS n, sum(failed) / sum(n) AS mean, sum(failed * failed / n) / sum(n) AS square, count(*) AS hosts, sum(n * n) AS n2 FROM h),
 v AS (SELECT *, (square - mean * mean - mean * (1 - mean) * (hosts - 1) / n) / (1 - n2 / n / n) AS between_hosts FROM s),
 a AS (SELECT mean, CASE WHEN hosts > 1 AND mean > 0 AND mean < 1 THEN CASE WHEN between_hosts > 0 THEN greatest(2.0, mean * (1 - mean) / between_hosts - 1) ELSE n END ELSE 2.0 END AS strength FROM v)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND (failed + strength * mean) / (n + strength) <= 0.5 AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN host <> '' THEN substr(host, 2) END AS host,
+       round((failed + strength * mean) / (n + strength), 6) AS host_rate, NOT base_failed AND (failed + strength * mean) / (n + strength) <= 0.5 AS kept
 FROM j JOIN h USING (host), a""",
 }

@@ -11,7 +11,9 @@ The law is `key`: doc_id and the tree decide. Slots number a shard's rows in the
 shard is numbered in hash ranges of its own, whose sizes are summed first, so no task holds a whole shard.
 
 Null texts have one byte of size and the checksum of an empty text; a null doc_id is hashed as an empty string.
-Rows that share a doc_id lie in one shard. An empty table gives an empty result.
+Rows that share a doc_id lie in one shard and one hash range of it, so they are numbered in one task. Texts of any length
+only give their size and checksum. Only the two named columns of docs are read, whatever the names of others. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import parts_for
+
 
 @dataclass(frozen=True)
 class Tree:
@@ -69,7 +73,7 @@ def _descend(key: Column, children: list[tuple[str, float, Column]]) -> Column:
 def assign_shards(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     key, text = F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
-    chunks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = parts_for(docs)
     placed = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),

@@ -12,7 +12,12 @@ least of them gives the same components without pairs. This needs an even distan
 Components are found by alternating large-star and small-star rounds on tables in the shared folder.
 
 Texts without a word, null ones too, have fingerprint zero and are linked like any other. Rows that share a doc_id
-are separate documents with one number. An empty table gives an empty result.
+are separate documents with one number; a null doc_id is larger than all others. A text's words and shingle hashes are
+held in one worker, however long it is, and its bits are counted in steps. Only the two named columns of docs are read,
+whatever the names of others. An empty table gives an empty result.
+
+A node that links to very many others has all its edges under one key where edges meet the smallest neighbours; Spark's
+adaptive execution splits such a key, and all aggregates combine before they shuffle.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stash, stash, unhot_join
+from .common import Stash, numbered_rows, stash, unhot_join
 
 SHINGLE, BLOCKS, DISTANCE, BUCKET = 3, 4, 2, 32
 
@@ -123,7 +128,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without all but the smallest doc_id of each component, with all columns of docs."""
-    found = simhash_dedup(docs, id_col, text_col, **how)
-    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["_dropped"]), "left_anti")
+    """docs without all but one row of each component, with all columns of docs: of the rows with its smallest doc_id
+    the first in a numbering of the rows."""
+    table, row = numbered_rows(docs, "simhash-numbered")
+    # Numbers rank rows by doc_id first, so the smallest of a component is that of the row that stays.
+    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("doc_id"), F.col(row).alias("row"))
+    found = simhash_dedup(table.select(rank.alias("rank"), F.col(text_col).alias("text")), "rank", "text", **how)
+    dropped = found.where("doc_id.row <> component_id.row").select(F.col("doc_id.row").alias(row))
+    return table.join(dropped, row, "left_anti").select(*docs.columns)

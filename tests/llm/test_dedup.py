@@ -20,7 +20,11 @@ def brute_exact(rows):
     groups = defaultdict(list)
     for i, t in rows:
         groups[re.sub(WS + "+", " ", t or "")].append(i)
-    return Counter((i, least(ids), len(ids), i == least(ids), sha256(t.encode()).hexdigest()) for t, ids in groups.items() for i in ids)
+    out = Counter()
+    for t, ids in groups.items():
+        kept = ids.index(least(ids))
+        out.update((i, least(ids), len(ids), n == kept, sha256(t.encode()).hexdigest()) for n, i in enumerate(ids))
+    return out
 
 
 def test_exact_dedup_of_odd_rows(documents, odd):
@@ -40,17 +44,30 @@ def test_exact_dedup_compares_contents(documents, monkeypatch):
 
     keyed = exact_dedup._keyed
     monkeypatch.setattr(exact_dedup, "_keyed", lambda *a: keyed(*a).withColumn("_digest", F.unhex(F.lit("00"))))
-    rows = [(i, f"text {i % 7}") for i in range(40)]
-    got = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(documents(rows)).collect()}
-    assert got == {(i, i % 7, len(range(i % 7, 40, 7))) for i in range(40)}
-
-
-def test_distinct_documents_keeps_columns(documents, odd):
-    df = documents(odd)
+    rows = [(i, f"text {i % 7}") for i in range(40)] + [(3, "text 3"), (3, "text 4")]
+    got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(documents(rows)).collect())
+    assert got == Counter((i, k, n, kept) for (i, k, n, kept, _), times in brute_exact(rows).items() for _ in range(times))
+    kept = Counter(i for (i, _, _, kept, _), times in brute_exact(rows).items() for _ in range(times) if kept)
+    assert Counter(r["doc_id"] for r in exact_dedup.distinct_documents(documents(rows)).collect()) == kept
+
+
+@pytest.mark.parametrize("times", [1, 2])
+def test_distinct_documents_loses_no_text(documents, odd, times):
+    """One row of each text stays, with all columns, whatever doc_ids rows share."""
+    rows = (odd + [(5, "a b"), (7, "nobody else has this"), (9, "zz"), (9, "zz")]) * times
+    df = documents(rows)
     out = exact_dedup.distinct_documents(df)
     assert out.columns == df.columns
-    kept = Counter(i for (i, _, _, k, _), n in brute_exact(odd).items() if k for _ in range(n))
-    assert Counter(r["doc_id"] for r in out.collect()) - kept == Counter()
+    normal = lambda t: re.sub(WS + "+", " ", t or "")
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[normal(t)].append(i)
+    assert Counter((r["doc_id"], normal(r["text"])) for r in out.collect()) == Counter((least(ids), t) for t, ids in groups.items())
+
+
+def test_a_row_that_is_repeated_very_often(documents):
+    rows = [(5, "the same row")] * 3000 + [(i, f"row {i}") for i in range(500)] + [(4, "the  same row")]
+    assert Counter(map(tuple, exact_dedup.exact_dedup(documents(rows)).collect())) == brute_exact(rows)
 
 
 @pytest.mark.parametrize("run", [exact_dedup.exact_dedup, line_dedup.line_dedup, simhash.simhash_dedup])
@@ -60,16 +77,16 @@ def test_empty_table(documents, run):
 
 def brute_lines(rows, min_chars=40, min_docs=5):
     key = lambda x: re.sub(f"^{WS}+|{WS}+$", "", x).translate({c: c + 32 for c in range(65, 91)})
-    docs, keeper = Counter(), {}
+    docs, keeper = defaultdict(set), {}
     for i, t in rows:
         for k in {key(x) for x in (t or "").split("\n")}:
             if len(k) >= min_chars:
-                docs[k] += 1
+                docs[k].add(i)
                 keeper[k] = i if keeper.get(k) is None else max(keeper[k], i if i is not None else keeper[k])
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if docs[key(x)] < min_docs or keeper[key(x)] == i]
+        kept = [x for x in lines if len(docs[key(x)]) < min_docs or keeper[key(x)] == i]
         out.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
     return Counter(out)
 
@@ -84,6 +101,14 @@ def test_line_dedup(documents, odd):
     assert Counter(map(tuple, got.collect())) == brute_lines(rows)
 
 
+@pytest.mark.parametrize("ids, dropped", [([1, 1, 1, 2, 3], 0), ([1, 1, 2, 3, 4, None], 5), ([None] * 4 + [1, 2, 3], 0), ([5, 4, 3, 2, 1, 1], 5)])
+def test_lines_of_rows_that_share_a_doc_id(documents, ids, dropped):
+    """Documents count, not rows."""
+    rows = [(i, "one line that is long enough to be counted as one") for i in ids]
+    got = line_dedup.line_dedup(documents(rows)).collect()
+    assert Counter(map(tuple, got)) == brute_lines(rows) and sum(r["n_dropped"] for r in got) == dropped
+
+
 def test_line_runs_take_batches_in_any_order(spark):
     pairs = [(n % 11, i) for i in range(60) for n in {i, i * 7, 3}]
     keys = {(b"%016d" % k, i) for k, i in pairs}
@@ -173,6 +198,26 @@ def test_components_of_a_chain(spark):
     assert got == dict.fromkeys(order, min(order))
 
 
+def test_components_of_a_star(spark):
+    """One node that 100 000 others are linked to, and a chain that hangs on it."""
+    n = 100_000
+    edges = spark.range(1, n + 1).selectExpr("id + 10 AS u", "7L AS v").unionByName(spark.range(n, n + 20).selectExpr("id + 11 AS u", "id + 10 AS v"))
+    got = simhash.components(edges)
+    assert got.count() == n + 21 and [r["root"] for r in got.select("root").distinct().collect()] == [7]
+
+
+def test_one_row_of_each_group_stays(documents, odd):
+    long = " ".join(f"w{n}" for n in range(500))
+    rows = odd * 2 + [(5, long), (3, long + " more"), (3, long + " less"), (None, long), (9, "one that stands alone here"), (9, long)]
+    prints = [fingerprint(t) for _, t in rows]
+    roots = brute_components(set(prints))
+    groups = defaultdict(list)
+    for (i, t), p in zip(rows, prints):
+        groups[roots[p]].append(i)
+    got = Counter(r["doc_id"] for r in simhash.one_of_each_group(documents(rows)).collect())
+    assert got == Counter(map(least, groups.values()))
+
+
 def test_one_of_each_group_keeps_columns(documents):
     text = " ".join(f"w{n}" for n in range(500))
     df = documents([(5, text), (3, text + " more"), (9, "something else that stands alone")])

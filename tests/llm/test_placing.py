@@ -54,7 +54,34 @@ def test_url_filter_without_rules_or_pages(spark):
     none = spark.createDataFrame([], "host string, path string, action string")
     assert {r["verdict"] for r in url_filter.judge_urls(pages(spark, URLS), none).collect()} == {"allow"}
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
-    assert url_filter.judge_urls(pages(spark, []).limit(0) if URLS else None, rules).count() == 0
+    assert url_filter.judge_urls(pages(spark, URLS).limit(0), rules).count() == 0
+
+
+def test_rules_whose_prefixes_clash(spark, monkeypatch):
+    """With one prefix for all digests, whole digests still decide."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(url_filter, "prefix_of", lambda digest: F.length(digest).cast("long"))
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    got = [tuple(r)[1:] for r in url_filter.judge_urls(pages(spark, URLS), rules).orderBy("page_id").collect()]
+    assert got == [brute_verdict(u, URL_RULES) for u in URLS]
+
+
+def test_urls_are_joined_on_the_prefix_alone(spark, monkeypatch):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    kind = type(rules)
+    seen, join = [], kind.join
+
+    def spy(self, other, *how, **more):
+        out = join(self, other, *how, **more)
+        if "_rules" in other.columns:
+            seen.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(kind, "join", spy)
+    url_filter.judge_urls(pages(spark, URLS), rules)
+    keys = [line for line in seen[0].split("\n") if "Join " in line]
+    assert len(seen) == 1 and len(keys) == 1 and "_digest" not in keys[0] and keys[0].count("_prefix") == 2
 
 
 def test_sharding_law(documents, odd):
@@ -119,6 +146,18 @@ def test_byte_bpe_of_many_blocks(documents, monkeypatch):
     assert {x["doc_id"]: byte_bpe.array_of_ids(x["ids"]).tolist() for x in got} == {i: enc.encode_ordinary(t) for i, t in rows}
 
 
+def test_words_that_a_bucket_forgets(documents, monkeypatch):
+    import public_tokenizers
+
+    r = random.Random(13)
+    rows = [(i, " ".join(f"w{r.randint(0, 50)}" for _ in range(40))) for i in range(50)]
+    enc = tiktoken_encoding()
+    monkeypatch.setattr(byte_bpe, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(byte_bpe._encode_buckets, "__defaults__", (3,))
+    got = byte_bpe.encode(documents(rows), RANKS, public_tokenizers.PATTERN).collect()
+    assert {x["doc_id"]: byte_bpe.array_of_ids(x["ids"]).tolist() for x in got} == {i: enc.encode_ordinary(t) for i, t in rows}
+
+
 @pytest.mark.parametrize("numbers", [[], [0], [1, 255, 256, 65536, 2**32 - 1]])
 def test_squeezed_numbers(numbers):
     assert byte_bpe._unsqueeze(byte_bpe._squeeze(numbers)).tolist() == numbers
@@ -227,6 +266,15 @@ def test_ids_of_words_of_all_kinds():
         assert np.frombuffer(e([text.encode()])[0], "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_tokenizers_that_keep_white_space_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    texts = ["ab cd", "", "  two  spaces\n", "don't \u00e9\u4f60"]
+    got = packing.WordEncoder(path, "<u2")([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_words_are_forgotten_and_learned_again():
     e = packing.WordEncoder(WORDS, "<u2", remembered=10)
     texts = [" ".join(f"w{(i * 7 + j) % 40}" for j in range(6)).encode() for i in range(30)]

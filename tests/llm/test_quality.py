@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import brute
 import duckdb
 import pytest
 
@@ -43,6 +44,30 @@ def test_a_failing_host_loses_its_documents(documents):
     assert {r["doc_id"] for r in quality_rules.kept_documents(documents(rows, source)).collect()} == kept
 
 
+def test_planted_hosts_against_sql(spark, documents, tmp_path):
+    """Hosts of many sizes, some of which fail often, one with a third of all rows: verdicts and rates as SQL has them."""
+    from nearfield.llm import queries
+
+    r = random.Random(14)
+    rates = {f"host{n}": r.choice([0.02, 0.05, 0.1, 0.9]) for n in range(40)} | {"hot": 0.03}
+    rows, source = [], {}
+    for i in range(6000):
+        source[i] = "hot" if i % 3 == 0 else None if i % 50 == 1 else "" if i % 50 == 2 else f"host{min(r.randint(0, 39), r.randint(0, 39))}"
+        mark = "#" if r.random() < rates.get(source[i], 0.7) else ""
+        rows.append((i, " ".join(f"word{r.randint(0, 9999)}{mark}" for _ in range(30))))
+    documents(rows, source.get).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op9_quality_rules"](spark, str(tmp_path))
+    duckdb.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duckdb.sql(queries.ORACLE_SQL["op9_quality_rules"]).select(*(f'"{c}"' for c in got.columns)).fetchall()
+    found = got.collect()
+    assert sorted(repr(tuple(x)) for x in found) == sorted(map(repr, want))
+    by_host = {x["host"]: x["kept"] for x in found if not x["base_failed"]}
+    # The verdict of the host acts: all documents of some hosts go, though none of them fails a rule of its own.
+    bad = {h for h, rate in rates.items() if rate == 0.9} & set(by_host)
+    assert len(bad) > 3 and not any(by_host[h] for h in bad) and all(by_host[h] for h in by_host if rates.get(h, 1) < 0.5)
+    assert sum(not x["kept"] and not x["base_failed"] for x in found) > 300
+
+
 def test_a_small_failing_host_is_shrunk_to_the_rest(documents):
     good = " ".join(f"word{n}" for n in range(50))
     rows = [(i, good if i != 7 else "too short") for i in range(400)]
@@ -78,6 +103,47 @@ def test_expectation_maximisation_finds_the_classes():
     assert quality_model.expectation_maximisation({}) == {}
 
 
+def labelled_texts(n, seed=15):
+    r = random.Random(seed)
+    words = ["the", "river", "was", "Wide", "and", "people", "walked", "along", "it", "every", "evening", "in", "summer,", "talking."]
+    made = []
+    for i in range(n):
+        text = " ".join(r.choice(words) for _ in range(r.randint(3, 60)))
+        if i % 4 == 0:
+            text = r.choice(["# $ % & ", "BUY NOW!!! ", "x y z ", "same line that is repeated here\n"]) * r.randint(2, 12) + text[: r.randint(0, 80)]
+        made.append(text)
+    return made + [None, "", " ", "caf\u00e9 \u4f60\u597d", "word " * 3000]
+
+
+def test_expectation_maximisation_against_loops():
+    patterns = Counter(map(brute.votes, labelled_texts(600)))
+    got = quality_model.expectation_maximisation(patterns)
+    want = brute.clean_by_pattern(patterns)
+    assert set(got) == set(want) and all(got[v] == pytest.approx(want[v], abs=1e-6) for v in want)
+    assert {v for v in got if got[v] > 0.5} and {v for v in got if got[v] < 0.5}
+
+
+def test_scores_against_brute_force(documents):
+    texts = labelled_texts(300)
+    want = brute.quality_scores(texts)
+    got = {r["doc_id"]: r for r in quality_model.classify(documents(list(enumerate(texts)))).collect()}
+    assert [got[i]["score"] for i in range(len(texts))] == pytest.approx(list(want), abs=2e-3)
+    assert all(got[i]["kept"] == (got[i]["score"] >= 0.5) for i in range(len(texts)))
+    assert {got[i]["kept"] for i in range(len(texts))} == {True, False}
+
+
+@pytest.mark.parametrize("run", [quality_model.classify, language_id.language_id])
+def test_models_do_not_depend_on_partitions(documents, run):
+    """Also where rows share doc_ids, and where the sample is smaller than the table."""
+    texts = labelled_texts(400)
+    rows = [(i % 300, t) for i, t in enumerate(texts)] + [(None, t) for t in texts[:5]]
+    df = documents(rows, lang=lambda i: None if i is None else "abc"[i % 3])
+    how = {"sample": 100} if run is quality_model.classify else {}
+    before = Counter(map(tuple, run(df, **how).collect()))
+    for n in (1, 7):
+        assert Counter(map(tuple, run(df.repartition(n, "text"), **how).collect())) == before
+
+
 def test_quality_on_labels_that_it_never_saw(spark):
     scores = {r["doc_id"]: r["kept"] for r in quality_model.classify(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
     labels = duckdb.sql(f"SELECT doc_id, quality FROM '{SF}/labels.parquet'").fetchall()
@@ -111,6 +177,36 @@ def test_backpropagation_matches_differences():
         assert g[k][at] == pytest.approx((loss[0] - loss[1]) / 2e-2, rel=2e-2, abs=1e-4)
 
 
+def test_probabilities_against_loops():
+    """Of short texts, of one that ends inside a window, and of one that is read in several parts."""
+    import numpy as np
+
+    net = language_id.Network(["a", "b", "c"], hidden=3, seed=2)
+    texts = [b"x", "caf\u00e9 \u4f60\u597d".encode(), bytes(range(256)) * 2, b"word and word " * 60]
+    got = net.predict(texts)
+    for t, row in zip(texts, got):
+        assert row.tolist() == pytest.approx(brute.language_probabilities(net, t, language_id.WINDOW, language_id.FILL), abs=1e-5)
+    part = language_id.WINDOW * language_id.AT_ONCE
+    window = bytes(r % 251 for r in range(language_id.WINDOW))
+    long, tail = window * (2 * language_id.AT_ONCE + 3) + b"the end", brute.language_probabilities(net, b"the end", language_id.WINDOW, language_id.FILL)
+    one = brute.language_probabilities(net, window, language_id.WINDOW, language_id.FILL)
+    assert len(long) > 2 * part
+    whole = [(len(long) - 7) / len(long) * a + 7 / len(long) * b for a, b in zip(one, tail)]
+    assert net.predict([b"x", long, b"y"])[1].tolist() == pytest.approx(whole, abs=1e-5)
+    assert np.allclose(net.predict([b"x", long, b"x"])[[0, 2]], got[0], atol=1e-6)
+
+
+def test_whole_sampled_texts_are_learned_from(documents):
+    """What tells languages apart stands only at the end of long texts."""
+    from zlib import crc32
+
+    same = "the same words again and again " * 40
+    rows = [(i, same + ("qqq zzz xxx " if i % 2 else "eee ooo uuu ") * 60) for i in range(80)]
+    got = language_id.language_id(documents(rows, lang=lambda i: "ab"[i % 2])).collect()
+    held = [r for r in got if crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert held and all(r["lang_pred"] == "ab"[r["doc_id"] % 2] for r in held)
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r["doc_id"]: r for r in language_id.language_id(docs).collect()}
