@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .errors import VectorError
 from .functions.hashing import model_of
 from .mapping import CosineLsh, DenseFloatMapping, HammingLsh, JaccardLsh, L2Lsh, Mapping, PermutationLsh, SparseBoolMapping
-from .operators.approximate import approximate_join, postings_of
-from .operators.exact import knn_join_blocks
+from .operators.approximate import approximate_join
+from .operators.exact import _dims, knn_join_blocks
+from .sources.index import VectorIndex
 from .sources.readers import any_vectors
+from .sources.scratch import scratch_path
 from .vectors import Similarity
 
 #: The pairs of algorithm and metric that there are.
@@ -35,10 +37,10 @@ class NearestNeighbors:
             self.similarity = None
         if self.similarity is None or self.similarity.value not in ALGORITHMS.get(algorithm, ()):
             pairs = [(a, m) for a, ms in ALGORITHMS.items() for m in ms]
-            raise VectorError(f"algorithm [{algorithm}] and metric [{metric}] should be one of {pairs}")
+            raise VectorError(f"No algorithm [{algorithm}] for metric [{metric}]; there are {pairs}")
         self.spark, self.algorithm, self.mapping_params = spark, algorithm, dict(mapping_params or {})
         self.set_query_params(query_params)
-        self.corpus: DataFrame | None = None
+        self.index: VectorIndex | None = None
 
     def set_query_params(self, query_params: dict | None = None) -> NearestNeighbors:
         self.query_params = {"candidates": 100} | dict(query_params or {})
@@ -51,22 +53,29 @@ class NearestNeighbors:
             return _LSH[self.similarity.value](dims, **self.mapping_params)
         return PermutationLsh(dims, **self.mapping_params)
 
-    def fit(self, x, shards: int = 1) -> NearestNeighbors:
-        """x: a matrix, a CSR matrix, a list of vectors, or a DataFrame of id and vec. Any earlier fit is replaced."""
-        from .operators.exact import _dims
-
+    def fit(self, x, shards: int = 1, path: str | None = None) -> NearestNeighbors:
+        """x: a matrix, a CSR matrix, a list of vectors, or a DataFrame of id and vec, which are written to an index at the
+        path, or in the session's shared folder. Any earlier fit is replaced; close() deletes the index."""
         df = x if isinstance(x, DataFrame) else any_vectors(self.spark, x).repartition(max(1, shards))
-        self.corpus, self.fitted = df, self.mapping(_dims(df, "vec") or 0)
-        self.postings = None if self.algorithm == "exact" else postings_of(df, model_of(self.fitted)).persist()
+        mapping = self.mapping(_dims(df, "vec") or 0)
+        index = VectorIndex.create(df, path or scratch_path(self.spark, "fitted"), {"vec": mapping}, replace=True)
+        if self.index is not None and self.index.path != index.path:
+            self.close()
+        self.index, self.fitted = index, mapping
         return self
 
+    def close(self) -> None:
+        if self.index is not None:
+            self.index.drop()
+            self.index = None
+
     def kneighbors_frame(self, queries: DataFrame, n_neighbors: int) -> DataFrame:
         """qid, id, score, rank for a frame of qid and vec, all queries in one job."""
-        if self.corpus is None:
+        if self.index is None:
             raise VectorError("Call fit() first")
         if self.algorithm == "exact":
-            return knn_join_blocks(queries, self.corpus, self.similarity, n_neighbors)
-        return approximate_join(queries, self.corpus, self.postings, model_of(self.fitted), self.similarity, self.query_params["candidates"], n_neighbors, probes=self.query_params.get("probes", 0)).drop("hits")
+            return knn_join_blocks(queries, self.index.rows(), self.similarity, n_neighbors)
+        return approximate_join(queries, self.index.rows(), self.index.postings("vec"), model_of(self.fitted), self.similarity, self.query_params["candidates"], n_neighbors, probes=self.query_params.get("probes", 0)).drop("hits")
 
     def kneighbors(self, x, n_neighbors: int, return_similarity: bool = False):
         """Positions in the fitted data, a row for each query; missing ones are -1, with a similarity of NaN."""

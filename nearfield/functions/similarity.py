@@ -65,11 +65,10 @@ def hamming(a: Column, b: Column) -> Column:
 _OF = {Similarity.L1: l1, Similarity.L2: l2, Similarity.COSINE: cosine, Similarity.JACCARD: jaccard, Similarity.HAMMING: hamming}
 
 
-def similarity(kind: Similarity | str, query: Column, stored: Column) -> Column:
+def similarity(kind: Similarity | str, query: Column, stored: Column, normal: bool = False) -> Column:
+    """normal: the indices of sparse queries are sorted and distinct already, as those of stored vectors are."""
     kind = Similarity.of(kind)
-    if kind.sparse:
-        query, stored = sorted_sparse(query), stored
-    return _OF[kind](query, stored)
+    return _OF[kind](sorted_sparse(query) if kind.sparse and not normal else query, stored)
 
 
 def sorted_sparse(v: Column) -> Column:
@@ -92,6 +91,34 @@ def literal(v: DenseFloat | SparseBool) -> Column:
     raise VectorError(f"Expected a literal vector but got [{v}]")
 
 
+def sparse_scores(kind: Similarity, queries, stored):
+    """Scores of all queries (rows) with all stored vectors (columns), for sparse blocks."""
+    import numpy as np
+
+    common = np.asarray(queries.common(stored), np.float64)
+    counts = queries.lengths[:, None].astype(np.float64) + stored.lengths[None]
+    if kind is Similarity.JACCARD:
+        either = counts - common
+        return np.where(either == 0, 1.0, common / np.maximum(either, 1))
+    total = queries.totals[:, None].astype(np.float64)
+    return (total - (counts - 2 * common)) / total
+
+
+def rounding(kind: Similarity, scores, queries, stored):
+    """How far a score near these may lie from the same pair's by row_scores(), for the queries' rows. Distances from
+    squares are wrong by the square root of what the squares are wrong by, and rows are scored with products of floats."""
+    import numpy as np
+
+    scores = np.where(np.isfinite(scores), scores, 0)
+    if kind is Similarity.COSINE:
+        return np.full(len(scores), 1e-6)
+    out = 1e-6 * scores
+    if kind is Similarity.L2:
+        size = lambda x: np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
+        out = out + 1e-7 * (size(queries) + size(stored).max(initial=0)) * scores**2
+    return out
+
+
 def block_scores(kind: Similarity, queries, stored):
     """Scores of all queries (rows) with all stored vectors (columns), for matrices with a row for each vector.
 

@@ -6,11 +6,14 @@ terms and one aggregate that combines before it shuffles.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import VectorError
 from ..functions.hashing import HashModel, Term
-from ..functions.similarity import literal, similarity
+from ..functions.similarity import literal, similarity, sorted_sparse
 from ..vectors import DenseFloat, Similarity, SparseBool
 from .blocks import with_pair_scores, with_terms
 from .exact import BROADCAST_BYTES, ranked, top
@@ -38,6 +41,14 @@ def lookup(postings: DataFrame, tbl: int, hashed: tuple[int, ...]) -> DataFrame:
     return postings.where((F.col("tbl") == tbl) & (F.col("hash") == F.lit(list(hashed)).cast("array<int>")))
 
 
+def lookup_bytes(postings: DataFrame, model: HashModel, term: bytes, field: str = "vec") -> DataFrame:
+    """The postings of the term that has these bytes in indexes which store terms as bytes."""
+    if not isinstance(term, (bytes, bytearray)):
+        raise VectorError(f"Field [{field}] doesn't support term queries with value of type [{type(term).__name__}]")
+    found = [lookup(postings, tbl, hashed) for tbl, hashed in model.terms_of(bytes(term))]
+    return reduce(DataFrame.unionByName, found) if found else postings.limit(0)
+
+
 def hit_counts(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """id, hits. Each occurrence of a term in the query counts what both sides have of it; ids without a hit are out.
 
@@ -73,6 +84,20 @@ def approximate_topk(corpus: DataFrame, postings: DataFrame, query: DenseFloat |
     return top(stored.select(id_col, similarity(kind, literal(query), F.col(vec_col)).alias("score"), "hits", *fetch), k, id_col)
 
 
+#: Candidates of one query up to which their ids go to the driver, to be looked up.
+FETCHED = 10_000
+
+
+def lookup_topk(rows_of, postings: DataFrame, query: DenseFloat | SparseBool, terms: list[Term], kind: Similarity | str, n_candidates: int, k: int, id_col: str = "id", vec_col: str = "vec", fetch: tuple[str, ...] = ()) -> DataFrame:
+    """What approximate_topk() gives, with vectors read for the candidates alone: their ids, at most n_candidates, are
+    collected, and rows_of(ids) has their rows."""
+    spark, id_type = postings.sparkSession, postings.schema["id"].dataType.simpleString()
+    found = [tuple(r) for r in candidates(hit_counts(postings, term_table(spark, terms)), n_candidates).collect()]
+    hits = F.broadcast(spark.createDataFrame(found, f"_id {id_type}, hits long"))
+    stored = rows_of([i for i, _ in found]).where(F.col(vec_col).isNotNull()).join(hits, F.col(id_col) == F.col("_id"))
+    return top(stored.select(id_col, similarity(kind, literal(query), F.col(vec_col)).alias("score"), "hits", *fetch), k, id_col)
+
+
 def explain_approximate(hits: DataFrame, n_hashes: int) -> DataFrame:
     text = F.format_string("Share [%d] of [%d] hashes. Exact similarity is [%f].", F.col("hits"), F.lit(n_hashes), F.col("score"))
     return hits.withColumn("explanation", text)
@@ -83,10 +108,12 @@ def approximate_join(queries: DataFrame, corpus: DataFrame, postings: DataFrame,
     to which ids are dealt by hash, has n_candidates of its own.
 
     The terms of many queries meet the postings by a shuffled join, in which Spark splits postings lists that are much
-    longer than others; terms of few queries are broadcast. Vectors are read again only for the candidates.
+    longer than others; terms of few queries are broadcast. The vectors of all queries' candidates, which may be most of
+    the corpus, are read by one scan.
     """
     kind = Similarity.of(kind)
-    q = queries.where(F.col(q_col).isNotNull()).select(F.col(qid_col).alias("qid"), F.col(q_col).alias("_q"))
+    asked = sorted_sparse(F.col(q_col)) if kind.sparse else F.col(q_col)
+    q = queries.where(F.col(q_col).isNotNull()).select(F.col(qid_col).alias("qid"), asked.alias("_q"))
     terms = postings_of(q, model, "qid", "_q", probes).groupBy(F.col("id").alias("qid"), "tbl", "hash", F.col("freq").alias("q_freq")).agg(F.count(F.lit(1)).alias("times"))
     if terms.count() * 64 <= BROADCAST_BYTES:
         terms = F.broadcast(terms)

@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.hashing import TERMS, HashModel, StableDistributions
+from ..functions.hashing import TERMS, HashModel
 from ..functions.similarity import row_scores, similarity
 from ..vectors import Similarity
 
-#: Steps of hashing a vector from which NumPy takes over from expressions, which run a lambda for each step.
+#: Steps of hashing a vector from which NumPy takes over from expressions, which run a lambda for each step. Both multiply
+#: floats and add them up as doubles, in expressions each product as a float first; a vector that lies on a border to the
+#: last digit can have another bucket by the one than by the other.
 STEPS = 256
+#: Widths up to which sparse blocks are multiplied as matrices, and equal pairs of indices that are counted at a time.
+NARROW, PAIRS = 4096, 1 << 22
 
 
 def dense_matrix(column: pa.Array):
@@ -26,29 +30,83 @@ def dense_matrix(column: pa.Array):
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.float32)
 
 
-def sparse_matrix(column: pa.Array):
-    """The rows of a struct column without nulls as 0/1 floats, as wide as the total indices."""
+class SparseBlock:
+    """Sparse vectors as their total indices, how many true ones each has, and all of those in order."""
+
+    def __init__(self, totals, lengths, indices):
+        self.totals, self.lengths, self.indices = totals, lengths, indices
+
+    @classmethod
+    def of(cls, column: pa.Array) -> SparseBlock:
+        """The rows of a struct column without nulls; indices that a row repeats count once."""
+        import numpy as np
+
+        rows = [np.unique(np.array(x, np.int32)) for x in column.field("true_indices").to_pylist()]
+        return cls(np.array(column.field("total_indices").to_pylist(), np.int32), np.array([len(x) for x in rows], np.int32), np.concatenate([np.zeros(0, np.int32), *rows]))
+
+    def tobytes(self) -> bytes:
+        return self.totals.tobytes() + self.lengths.tobytes() + self.indices.tobytes()
+
+    @classmethod
+    def frombytes(cls, raw: bytes, rows: int) -> SparseBlock:
+        import numpy as np
+
+        x = np.frombuffer(raw, np.int32)
+        return cls(x[:rows], x[rows : 2 * rows], x[2 * rows :])
+
+    def owners(self):
+        import numpy as np
+
+        return np.repeat(np.arange(len(self.lengths)), self.lengths)
+
+    def matrix(self, width: int):
+        import numpy as np
+
+        out = np.zeros((len(self.lengths), width), np.float32)
+        out[self.owners(), self.indices] = 1
+        return out
+
+    def common(self, other: SparseBlock):
+        """How many indices each row shares with each row of the other block: by a product of narrow matrices, or else by
+        the pairs of equal indices, some rows at a time."""
+        import numpy as np
+
+        n, m = len(self.lengths), len(other.lengths)
+        width = 1 + int(max(self.indices.max(initial=-1), other.indices.max(initial=-1)))
+        if width <= NARROW:
+            return self.matrix(width) @ other.matrix(width).T
+        order = np.argsort(other.indices, kind="stable")
+        keys, owners = other.indices[order], other.owners()[order]
+        first = np.searchsorted(keys, self.indices, "left")
+        times = np.searchsorted(keys, self.indices, "right") - first
+        out, mine, lo = np.zeros((n, m), np.float32), self.owners(), 0
+        upto = np.concatenate([[0], np.cumsum(times)])
+        while lo < len(times):
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PAIRS, "right")) - 1)
+            some = times[lo:hi]
+            at = np.arange(int(some.sum())) + np.repeat(first[lo:hi] - (upto[lo:hi] - upto[lo]), some)
+            out += np.bincount(np.repeat(mine[lo:hi], some) * m + owners[at], minlength=n * m).reshape(n, m)
+            lo = hi
+        return out
+
+
+def unpack(cells: bytes, rows: int, sparse: bool):
     import numpy as np
 
-    lists, totals = column.field("true_indices"), column.field("total_indices").to_pylist()
-    out = np.zeros((len(column), max(totals, default=0)), np.float32)
-    for i, x in enumerate(lists.to_pylist()):
-        out[i, x] = 1
-    return out
+    return SparseBlock.frombytes(cells, rows) if sparse else np.frombuffer(cells, np.float32).reshape(rows, -1)
 
 
 def pack(df: DataFrame, id_col: str, vec_col: str, size: int, sparse: bool) -> DataFrame:
-    """ids array, rows int, cells binary: blocks of at most `size` vectors that aren't null."""
+    """ids array, rows int, cells binary: blocks of at most `size` vectors that aren't null; unpack() reads the cells."""
     rows = df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
     kind = T.ArrayType(rows.schema["id"].dataType)
-    matrix = sparse_matrix if sparse else dense_matrix
+    block = SparseBlock.of if sparse else dense_matrix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, size):
                 some = b.slice(lo, size)
-                cells = matrix(some.column(1))
-                yield pa.RecordBatch.from_arrays([pa.array([some.column(0).to_pylist()], to_arrow_type(kind)), pa.array([len(cells)], pa.int32()), pa.array([cells.tobytes()], pa.binary())], ["ids", "rows", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array([some.column(0).to_pylist()], to_arrow_type(kind)), pa.array([some.num_rows], pa.int32()), pa.array([block(some.column(1)).tobytes()], pa.binary())], ["ids", "rows", "cells"])
 
     return rows.mapInArrow(run, T.StructType([T.StructField("ids", kind), T.StructField("rows", T.IntegerType()), T.StructField("cells", T.BinaryType())]))
 
@@ -67,21 +125,22 @@ def with_terms(df: DataFrame, vec_col: str, model: HashModel, into: str = "terms
         for b in batches:
             column = b.column(at)
             real = column.filter(column.is_valid())
-            if model.sparse:
-                vectors = [np.unique(x) for x in real.field("true_indices").to_pylist()]
-            else:
-                vectors = dense_matrix(real)
-            found = iter(model.hash_block(vectors, probes) if isinstance(model, StableDistributions) else model.hash_block(vectors)) if len(real) else iter(())
-            terms = [[dict(zip(("tbl", "hash", "freq"), t)) for t in next(found)] if ok else None for ok in column.is_valid().to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(terms, arrow.field(into).type)], schema=arrow)
+            lists = real.field("true_indices") if model.sparse else None
+            vectors = (lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)) if model.sparse else dense_matrix(real)
+            terms = model.hash_block(vectors, probes).arrow()
+            if len(real) < len(column):
+                ok = column.is_valid().to_numpy(zero_copy_only=False)
+                terms = terms.take(pa.array(np.cumsum(ok) - 1, pa.int64(), mask=~ok))
+            yield pa.RecordBatch.from_arrays([*b.columns, terms.cast(arrow.field(into).type)], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
 def with_pair_scores(df: DataFrame, kind: Similarity, query_col: str, vec_col: str, into: str = "score") -> DataFrame:
-    """df with the score of each row's two vectors, which aren't null; sparse ones by an expression."""
+    """df with the score of each row's two vectors, which aren't null; sparse ones, whose indices are sorted and distinct,
+    by an expression."""
     if kind.sparse:
-        return df.withColumn(into, similarity(kind, F.col(query_col), F.col(vec_col)))
+        return df.withColumn(into, similarity(kind, F.col(query_col), F.col(vec_col), normal=True))
     q_at, v_at = df.columns.index(query_col), df.columns.index(vec_col)
     schema = T.StructType([*df.schema, T.StructField(into, T.DoubleType())])
     arrow = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])

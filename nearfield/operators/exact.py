@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.similarity import block_scores, cosine, literal, row_scores, similarity, size_of
+from ..functions.similarity import block_scores, cosine, literal, rounding, row_scores, similarity, size_of, sorted_sparse, sparse_scores
 from ..vectors import DenseFloat, Similarity, SparseBool
-from .blocks import pack
+from .blocks import pack, unpack
 
 #: Bytes of query vectors up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
 QUERY_BLOCK, STORED_BLOCK = 1024, 4096
-#: Rows beyond k that a task keeps by matrix products, whose last digits differ from those of scores one by one.
-SLACK = 8
+#: Queries whose best rows a task holds at most.
+HELD = 200_000
 
 
 def with_score(corpus: DataFrame, query: DenseFloat | SparseBool | Column, kind: Similarity | str, vec_col: str = "vec", into: str = "score") -> DataFrame:
@@ -49,67 +49,82 @@ def ranked(scored: DataFrame, k: int, by: str = "qid", id_col: str = "id", score
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _bytes(df: DataFrame, vec_col: str) -> int:
+    """What the vectors of df hold."""
+    size = F.coalesce(F.size(F.col(vec_col)) if isinstance(df.schema[vec_col].dataType, T.ArrayType) else F.size(F.col(vec_col)["true_indices"]), F.lit(0))
+    return df.agg(F.sum((4 * size + 32).cast("long"))).first()[0] or 0
+
+
 def _broadcast_if_small(queries: DataFrame, vec_col: str) -> DataFrame:
     """queries, marked for broadcast after a count of what they hold."""
-    size = F.coalesce(F.size(F.col(vec_col)) if isinstance(queries.schema[vec_col].dataType, T.ArrayType) else F.size(F.col(vec_col)["true_indices"]), F.lit(0))
-    held = queries.agg(F.sum(4 * size + 32)).first()[0] or 0
-    return F.broadcast(queries) if held <= BROADCAST_BYTES else queries
+    return F.broadcast(queries) if _bytes(queries, vec_col) <= BROADCAST_BYTES else queries
 
 
 def knn_join(queries: DataFrame, corpus: DataFrame, kind: Similarity | str, k: int, qid_col: str = "qid", q_col: str = "vec", id_col: str = "id", vec_col: str = "vec") -> DataFrame:
     """qid, id, score, rank: the k nearest rows of each query, scored by expressions; for few queries. Many are
     answered by knn_join_blocks(), a hundred times as fast."""
     kind = Similarity.of(kind)
-    q = queries.where(F.col(q_col).isNotNull()).select(F.col(qid_col).alias("qid"), F.col(q_col).alias("_q"))
+    asked = sorted_sparse(F.col(q_col)) if kind.sparse else F.col(q_col)
+    q = queries.where(F.col(q_col).isNotNull()).select(F.col(qid_col).alias("qid"), asked.alias("_q"))
     stored = corpus.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v"))
     if kind is Similarity.COSINE:  # sizes are of rows, not of pairs
         q, stored = q.withColumn("_qs", size_of(F.col("_q"))), stored.withColumn("_vs", size_of(F.col("_v")))
         score = cosine(F.col("_q"), F.col("_v"), F.col("_qs") * F.col("_vs"))
     else:
-        score = similarity(kind, F.col("_q"), F.col("_v"))
+        score = similarity(kind, F.col("_q"), F.col("_v"), normal=True)
     return ranked(stored.crossJoin(_broadcast_if_small(q, "_q")).select("qid", "id", score.alias("score")), k)
 
 
 def knn_join_blocks(queries: DataFrame, corpus: DataFrame, kind: Similarity | str, k: int, qid_col: str = "qid", q_col: str = "vec", id_col: str = "id", vec_col: str = "vec") -> DataFrame:
-    """What knn_join() returns, by matrix products of blocks.
+    """What knn_join() returns, by products of blocks.
 
-    Both sides are packed into blocks, and each pair of blocks is one product. A task keeps somewhat more than the best
-    k that it has seen for each query, scores those one by one at its end and emits k, so what is shuffled is k rows a
-    query and task. Query blocks are broadcast where they are small, and dealt against the stored blocks otherwise.
+    Both sides are packed into blocks, and each pair of blocks is one product of matrices, or of sparse blocks. Of a
+    product a task keeps the rows that may be among the k best of a query, as far as rounding goes, scores those one by
+    one, and keeps the best k that it has seen of each query. So ties are cut by their ids, and what is shuffled is k rows
+    a query and task. Query blocks are broadcast where they are small, and dealt against the stored blocks otherwise; a
+    task that holds HELD queries emits what it has and begins anew.
     """
     kind = Similarity.of(kind)
-    q = pack(queries, qid_col, q_col, QUERY_BLOCK, kind.sparse).select(F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("cells").alias("q_cells"))
-    held = queries.where(F.col(q_col).isNotNull()).count() * (_dims(queries, q_col) or 0) * 4
-    stored = pack(corpus, id_col, vec_col, STORED_BLOCK, kind.sparse)
-    pairs = stored.crossJoin(F.broadcast(q) if held <= BROADCAST_BYTES else q)
+    sparse = kind.sparse
+    q = pack(queries, qid_col, q_col, QUERY_BLOCK, sparse).select(F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("cells").alias("q_cells"))
+    stored = pack(corpus, id_col, vec_col, STORED_BLOCK, sparse)
+    pairs = stored.crossJoin(F.broadcast(q) if _bytes(queries, q_col) <= BROADCAST_BYTES else q)
     q_type, id_type = queries.schema[qid_col].dataType, corpus.schema[id_col].dataType
     q_arrow, id_arrow = to_arrow_type(q_type), to_arrow_type(id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        best: dict = {}  # by query: its vector, then scores, ids and vectors of the rows kept
+        best: dict = {}  # by query: the scores and ids of the rows kept, best first
+
+        def emitted() -> Iterator[pa.RecordBatch]:
+            found = list(best.items())
+            for lo in range(0, len(found), 4096):
+                rows = [(qid, name, score) for qid, kept in found[lo : lo + 4096] for score, name in kept]
+                qids, names, scores = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(qids, q_arrow), pa.array(names, id_arrow), pa.array(scores, pa.float64())], ["qid", "id", "score"])
+            best.clear()
+
         for b in batches:
             for ids, rows, cells, q_ids, q_rows, q_cells in zip(*(b.column(c).to_pylist() for c in ("ids", "rows", "cells", "q_ids", "q_rows", "q_cells"))):
-                asked, stored = (np.frombuffer(x, np.float32).reshape(n, -1) for x, n in ((q_cells, q_rows), (cells, rows)))
-                scores, names = block_scores(kind, asked, stored), np.array(ids, object)
-                for i, qid in enumerate(q_ids):
-                    some = np.arange(rows)
-                    if rows > k + SLACK:
-                        # Those tied with the last one stay, as ids decide between them.
-                        cut = np.partition(scores[i], rows - k - SLACK)[rows - k - SLACK]
-                        some = np.flatnonzero(scores[i] >= cut)
-                    s, n, v = scores[i][some], names[some], stored[some]
-                    if qid in best:
-                        s, n, v = (np.concatenate(x) for x in zip(best[qid][1:], (s, n, v)))
-                    if len(s) > k + SLACK:
-                        some = sorted(range(len(s)), key=lambda j: (-s[j], n[j]))[: k + SLACK]
-                        s, n, v = s[some], n[some], v[some]
-                    best[qid] = (asked[i], s, n, v)
-        for qid, (q, _, n, v) in best.items():
-            s = row_scores(kind, q, v)
-            some = sorted(range(len(s)), key=lambda j: (-s[j], n[j]))[:k]
-            yield pa.RecordBatch.from_arrays([pa.array([qid] * len(some), q_arrow), pa.array(n[some].tolist(), id_arrow), pa.array(s[some], pa.float64())], ["qid", "id", "score"])
+                asked, stored = unpack(q_cells, q_rows, sparse), unpack(cells, rows, sparse)
+                scores = sparse_scores(kind, asked, stored) if sparse else block_scores(kind, asked, stored)
+                cut = np.array([best[i][-1][0] if len(best.get(i, ())) >= k else -np.inf for i in q_ids])
+                if rows > k:
+                    cut = np.maximum(cut, np.partition(scores, rows - k, axis=1)[:, rows - k])
+                cut -= 0.0 if sparse else rounding(kind, cut, asked, stored)
+                for lo in range(0, len(q_ids), 64):
+                    which, some = np.nonzero(scores[lo : lo + 64] >= cut[lo : lo + 64, None])
+                    which += lo
+                    real = scores[which, some] if sparse else np.concatenate([np.zeros(0), *(row_scores(kind, asked[which[i : i + 8192]], stored[some[i : i + 8192]]) for i in range(0, len(some), 8192))])
+                    ends = np.searchsorted(which, np.arange(lo, min(lo + 64, len(q_ids)) + 1))
+                    for i, (x, y) in enumerate(zip(ends, ends[1:]), lo):
+                        if y > x:
+                            new = [(s, ids[j]) for s, j in zip(real[x:y].tolist(), some[x:y].tolist())]
+                            best[q_ids[i]] = sorted(best.get(q_ids[i], []) + new, key=lambda r: (-r[0], r[1]))[:k]
+                if len(best) >= HELD:
+                    yield from emitted()
+        yield from emitted()
 
     schema = T.StructType([T.StructField("qid", q_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
     return ranked(pairs.mapInArrow(run, schema), k)

@@ -21,6 +21,7 @@ def exists(df: DataFrame, vec_col: str = "vec") -> DataFrame:
 
 def _literal_only(query) -> None:
     if isinstance(query, Indexed):
+        # Fixed value.
         raise VectorError("The score function does not support indexed vectors. Provide a literal vector instead.")
     if isinstance(query, Empty):
         raise VectorError(f"Expected a literal vector but got [{query}]")

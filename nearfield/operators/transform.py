@@ -24,14 +24,20 @@ def fits(vec: Column, mapping: Mapping) -> Column:
     return vec.isNull() | F.coalesce(ok, F.lit(False))
 
 
+def replaced(df: DataFrame, path: str, value: Column) -> DataFrame:
+    """df with another value in a column, or at a path into structs; a struct on the way that is null stays so."""
+    top, _, rest = path.partition(".")
+    return df.withColumn(top, F.col(top).withField(rest, value)) if rest else df.withColumn(path, value)
+
+
 def validated(df: DataFrame, vec_col: str, mapping: Mapping) -> DataFrame:
-    """df; a vector that doesn't fit fails the job that reads it."""
+    """df; a vector that doesn't fit fails the job that reads it. vec_col may be a path into structs."""
     vec = F.col(vec_col)
     wrong = F.format_string("Expected dimension %d but got %d", F.lit(mapping.dims), F.coalesce(dims_of(vec, mapping.sparse), F.lit(-1)))
     other = F.lit(f"A vector in field [{vec_col}] has nulls, NaNs or indices out of range")
     message = F.when(F.coalesce(dims_of(vec, mapping.sparse), F.lit(-1)) != mapping.dims, wrong).otherwise(other)
-    checked = F.when(fits(vec, mapping), vec).otherwise(F.raise_error(message).cast(df.schema[vec_col].dataType))
-    return df.withColumn(vec_col, checked)
+    kind = df.select(vec).schema[0].dataType
+    return replaced(df, vec_col, F.when(fits(vec, mapping), vec).otherwise(F.raise_error(message).cast(kind)))
 
 
 def quarantined(df: DataFrame, vec_col: str, mapping: Mapping) -> tuple[DataFrame, DataFrame]:
@@ -42,7 +48,7 @@ def quarantined(df: DataFrame, vec_col: str, mapping: Mapping) -> tuple[DataFram
 
 def normal_sparse(df: DataFrame, vec_col: str) -> DataFrame:
     """Indices sorted and distinct, as every operator expects stored vectors."""
-    return df.withColumn(vec_col, sorted_sparse(F.col(vec_col)))
+    return replaced(df, vec_col, sorted_sparse(F.col(vec_col)))
 
 
 def unit_vectors(df: DataFrame, vec_col: str) -> DataFrame:

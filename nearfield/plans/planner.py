@@ -46,7 +46,15 @@ class Plan:
             return exact.exact_topk(rows, q.vec, q.similarity, size, own, q.field, fetch)
         model, probes = model_of(self.mapping), getattr(q, "probes", 0)
         terms = model.hash_literal(q.vec, probes) if probes else model.hash_literal(q.vec)
-        return approximate.approximate_topk(rows, self.index.postings(q.field, terms), q.vec, model, q.similarity, q.candidates, size, own, q.field, probes, segment, fetch)
+        postings = self.index.postings(q.field, terms)
+        if segment is not None or q.candidates > approximate.FETCHED:
+            return approximate.approximate_topk(rows, postings, q.vec, model, q.similarity, q.candidates, size, own, q.field, probes, segment, fetch)
+
+        def rows_of(ids: list) -> DataFrame:
+            found = self.index.rows_of(ids)
+            return found if where is None else found.where(where)
+
+        return approximate.lookup_topk(rows_of, postings, q.vec, terms, q.similarity, q.candidates, size, own, q.field, fetch)
 
     def explained(self, size: int = 10) -> DataFrame:
         found = self.hits(size)

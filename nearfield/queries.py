@@ -15,7 +15,12 @@ from .functions.similarity import literal, similarity
 from .mapping import CosineLsh, DenseFloatMapping, HammingLsh, JaccardLsh, L2Lsh, Mapping, PermutationLsh
 from .operators import approximate as approx
 from .operators import exact, scoring, transform
-from .vectors import DenseFloat, Similarity, SparseBool
+from .plans.planner import search
+from .query import CosineLshQuery, Exact, HammingLshQuery, JaccardLshQuery, L2LshQuery, PermutationLshQuery, Query
+from .sources.files import Files
+from .sources.index import VectorIndex
+from .sources.scratch import parts_for, scratch_path
+from .vectors import DenseFloat, Indexed, Similarity, SparseBool
 
 DIMS, K = 64, 10
 #: The id of the row that single queries ask for, and what its vector is.
@@ -61,6 +66,20 @@ def _vector(df: DataFrame, id: int = ASKED):
     return DenseFloat(tuple(v)) if isinstance(v, list) else SparseBool(tuple(v["true_indices"]), v["total_indices"])
 
 
+#: The indexes of this process, by application, table and mapping: one is written once, and read by all queries after that.
+_INDEXES: dict[tuple, VectorIndex] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str, mapping: Mapping) -> VectorIndex:
+    """The index of all of `embeddings`, with the field vec. A table that has other files by now has an index anew."""
+    files = Files(spark, f"{sf_dir}/embeddings.parquet")
+    key = (spark.sparkContext.applicationId, sf_dir, files.state(), mapping)
+    if key not in _INDEXES:
+        rows = (_sparse if mapping.sparse else _dense)(spark, sf_dir)
+        _INDEXES[key] = VectorIndex.create(rows, scratch_path(spark, "index"), {"vec": mapping})
+    return _INDEXES[key]
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     """Scores to 6 places, after all ordering."""
     for c in columns or ("score",):
@@ -158,9 +177,9 @@ def exists_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_top_sql("cosine").replace(f"id = {ASKED}", "id = 7"))
 def pointer_vec_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query vector is a stored one, which is read by its id first."""
-    df = _dense(spark, sf_dir)
-    return _rounded(exact.exact_topk(df, literal(_vector(df, 7)), "cosine", K))
+    """The query names a stored vector, which is read by its id first."""
+    index = _index(spark, sf_dir, DenseFloatMapping(DIMS))
+    return _rounded(search(Exact("vec", Similarity.COSINE, Indexed(index.path, 7, "vec")), index, K))
 
 
 @query(_top_sql("l2"))
@@ -328,35 +347,35 @@ def _hits_cte(mapping: Mapping, count: str = "sum(least(q.freq, p.freq))") -> st
     return f"{_postings_cte(mapping)}, q AS (SELECT tbl, hash, freq FROM p WHERE id = {ASKED}), h AS (SELECT p.id, {count}::BIGINT AS hits FROM p JOIN q ON p.tbl = q.tbl AND p.hash = q.hash GROUP BY p.id)"
 
 
-def _terms(df: DataFrame, mapping: Mapping) -> DataFrame:
-    return approx.term_table(df.sparkSession, model_of(mapping).hash_literal(_vector(df)))
+def _asked(spark: SparkSession, sf_dir: str, mapping: Mapping) -> tuple[DataFrame, DataFrame]:
+    """(the postings that an index has for the query's terms, those terms)."""
+    index = _index(spark, sf_dir, mapping)
+    terms = model_of(mapping).hash_literal(index.get(ASKED, "vec"))
+    return index.postings("vec", terms), approx.term_table(spark, terms)
 
 
 @query(f"{_hits_cte(REPEATING)} SELECT id, hits FROM h")
 def hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _dense(spark, sf_dir)
-    return approx.hit_counts(approx.postings_of(df, model_of(REPEATING)), _terms(df, REPEATING))
+    return approx.hit_counts(*_asked(spark, sf_dir, REPEATING))
 
 
 @query(f"{_postings_cte(HAMMING)}, t AS (SELECT tbl, hash FROM p WHERE id = {ASKED} AND tbl = 3) SELECT p.id FROM p JOIN t ON p.tbl = t.tbl AND p.hash = t.hash")
 def term_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _sparse(spark, sf_dir)
-    tbl, hashed, _ = model_of(HAMMING).hash_literal(_vector(df))[3]
-    return approx.lookup(approx.postings_of(df, model_of(HAMMING)), tbl, hashed).select("id")
+    """By the term's bytes."""
+    index, model = _index(spark, sf_dir, HAMMING), model_of(HAMMING)
+    term = model.hash_literal(index.get(ASKED, "vec"))[3]
+    return approx.lookup_bytes(index.postings("vec", [term]), model, model.term_bytes(*term[:2])).select("id")
 
 
 @query(f"{_hits_cte(JACCARD)} SELECT id, hits, {JACCARD.L} AS of_hashes FROM h ORDER BY hits DESC, id LIMIT {CANDIDATES}")
 def candidates_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _sparse(spark, sf_dir)
-    hits = approx.hit_counts(approx.postings_of(df, model_of(JACCARD)), _terms(df, JACCARD))
+    hits = approx.hit_counts(*_asked(spark, sf_dir, JACCARD))
     return approx.candidates(hits, CANDIDATES).withColumn("of_hashes", F.lit(JACCARD.L))
 
 
 @query(f"{_hits_cte(COSINE)}, r AS (SELECT id, hits, id % 3 AS segment, row_number() OVER (PARTITION BY id % 3 ORDER BY hits DESC, id) AS n FROM h) SELECT id, hits, segment FROM r WHERE n <= 20")
 def candidates_per_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _dense(spark, sf_dir)
-    hits = approx.hit_counts(approx.postings_of(df, model_of(COSINE)), _terms(df, COSINE))
-    return approx.candidates(hits, 20, F.col("id") % 3)
+    return approx.candidates(approx.hit_counts(*_asked(spark, sf_dir, COSINE)), 20, F.col("id") % 3)
 
 
 def _lsh_sql(mapping: Mapping, kind: str, hits: str | None = None) -> str:
@@ -365,13 +384,22 @@ s AS (SELECT d.id, c.hits, {_score(kind, 'v.vec', 'd.vec')} AS score FROM c JOIN
 SELECT id, hits, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT {K}"""
 
 
-def _lsh_topk(name: str, mapping: Mapping, kind: str):
+def _lsh_query(mapping: Mapping, kind: str, at: Indexed) -> Query:
+    if isinstance(mapping, PermutationLsh):
+        return PermutationLshQuery("vec", Similarity.of(kind), CANDIDATES, at)
+    if isinstance(mapping, L2Lsh):
+        return L2LshQuery("vec", CANDIDATES, 2 if mapping is L2_PROBED else 0, at)
+    of = {JaccardLsh: JaccardLshQuery, HammingLsh: HammingLshQuery, CosineLsh: CosineLshQuery}
+    return of[type(mapping)]("vec", CANDIDATES, at)
+
+
+def _lsh_topk(name: str, mapping: Mapping, kind: str, sql: str | None = None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df, model = _source(spark, sf_dir, mapping), model_of(mapping)
-        return _rounded(approx.approximate_topk(df, approx.postings_of(df, model), _vector(df), model, kind, CANDIDATES, K))
+        index = _index(spark, sf_dir, mapping)
+        return _rounded(search(_lsh_query(mapping, kind, Indexed(index.path, ASKED, "vec")), index, K).select("id", "hits", "score"))
 
     run.__name__ = name
-    return query(_lsh_sql(mapping, kind))(run)
+    return query(sql or _lsh_sql(mapping, kind))(run)
 
 
 _lsh_topk("lsh_jaccard_topk", JACCARD, "jaccard")
@@ -385,12 +413,7 @@ for _kind in ("cosine", "l2", "l1"):
 # With one function a table and two probes, both neighbours of every bucket are probed, in any order.
 _PROBED_HITS = f"""{_postings_cte(L2_PROBED)}, q AS (SELECT tbl, [hash[1] + s] AS hash, freq FROM p, (VALUES (-1), (0), (1)) AS n(s) WHERE id = {ASKED}),
 h AS (SELECT p.id, sum(least(q.freq, p.freq))::BIGINT AS hits FROM p JOIN q ON p.tbl = q.tbl AND p.hash = q.hash GROUP BY p.id)"""
-
-
-@query(_lsh_sql(L2_PROBED, "l2", _PROBED_HITS))
-def lsh_l2_multiprobe_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, model = _dense(spark, sf_dir), model_of(L2_PROBED)
-    return _rounded(approx.approximate_topk(df, approx.postings_of(df, model), _vector(df), model, "l2", CANDIDATES, K, probes=2))
+_lsh_topk("lsh_l2_multiprobe_topk", L2_PROBED, "l2", _lsh_sql(L2_PROBED, "l2", _PROBED_HITS))
 
 
 def _lsh_join_sql(mapping: Mapping, kind: str) -> str:
@@ -435,7 +458,7 @@ def recall_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each query, the approximate results that score at least the worst of the exact ones."""
     df, model = _dense(spark, sf_dir), model_of(COSINE)
     asked = df.withColumnRenamed("id", "qid")
-    best = _rounded(exact.knn_join(asked, df, "cosine", K)).groupBy("qid").agg(F.min("score").alias("worst"))
+    best = _rounded(exact.knn_join_blocks(asked, df, "cosine", K)).groupBy("qid").agg(F.min("score").alias("worst"))
     found = _rounded(approx.approximate_join(asked, df, approx.postings_of(df, model), model, "cosine", CANDIDATES, K))
     good = found.join(best, "qid").where("score >= worst").groupBy("qid").agg(F.count(F.lit(1)).alias("found"))
     return best.join(good, "qid", "left").select("qid", F.coalesce("found", F.lit(0)).alias("found"), F.round(F.coalesce("found", F.lit(0)) / float(K), 6).alias("recall"))
@@ -466,11 +489,6 @@ n AS (SELECT 1000000 + id AS id, vec FROM d WHERE id BETWEEN 10 AND 19 UNION ALL
 s AS (SELECT d.id, {_score('l2')} AS score FROM n AS d, q) SELECT id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT {K}""")
 def upsert_delete_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On an index: delete the five nearest rows, replace every eleventh vector, add ten rows, search again."""
-    from .plans.planner import search
-    from .query import Exact
-    from .sources.index import VectorIndex
-    from .sources.scratch import scratch_path
-
     df = _dense(spark, sf_dir)
     asked = _vector(df)
     index = VectorIndex.create(df, scratch_path(spark, "index"), {"vec": DenseFloatMapping(DIMS)})
@@ -514,7 +532,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::IN
 def doc_jaccard_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What doc_minhash_neighbors looks for, from all documents."""
     df = _word_sets(spark, sf_dir)
-    return _rounded(exact.knn_join(df.where("id % 20 = 0").withColumnRenamed("id", "qid"), df, "jaccard", 5))
+    return _rounded(exact.knn_join_blocks(df.where("id % 20 = 0").withColumnRenamed("id", "qid"), df, "jaccard", 5))
 
 
 def _word_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -526,12 +544,15 @@ def _word_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.select("id", F.struct(F.col("of").alias("true_indices"), F.lit(BASKET_DIMS).alias("total_indices")).alias("vec"))
 
 
-def numbered(df: DataFrame, column: str, parts: int = 64) -> DataFrame:
+def numbered(df: DataFrame, column: str, parts: int | None = None) -> DataFrame:
     """column, i: the distinct values numbered from 0 in their order. Ranges are numbered alone and then shifted by
-    what comes before them, so no task holds all values."""
+    what comes before them, so no task holds all values. The ranges are written down, as their borders are sampled and
+    another run of the same plan has others."""
     from pyspark.sql import Window
 
-    ranged = df.repartitionByRange(parts, column).withColumn("part", F.spark_partition_id())
+    path = scratch_path(df.sparkSession, "numbered")
+    df.repartitionByRange(parts or parts_for(df), column).select(column, F.spark_partition_id().alias("part")).write.parquet(path)
+    ranged = df.sparkSession.read.parquet(path)
     inside = ranged.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(column)))
     before = ranged.groupBy("part").count()
     # A row for each part.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -29,8 +30,18 @@ class Files:
         finally:
             stream.close()
 
-    def write_json(self, name: str, value: dict) -> None:
-        """Written beside its place first, so readers see the old file or the new one."""
+    def names(self, name: str = "") -> list[str]:
+        """What lies in a folder; nothing where there is none."""
+        path = self._path(name)
+        return [f.getPath().getName() for f in self._fs.listStatus(path)] if self._fs.exists(path) else []
+
+    def state(self) -> str:
+        """The names, sizes and times of the folder's files, or of the file."""
+        found = self._fs.listStatus(self._path(""))
+        return ",".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in found))
+
+    def write_new_json(self, name: str, value: object) -> bool:
+        """Written beside its place first, so readers see all of it or nothing. False if the place is taken."""
         part = f"{name}.{uuid.uuid4().hex}"
         stream = self._fs.create(self._path(part), True)
         try:
@@ -39,6 +50,13 @@ class Files:
             stream.close()
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self._conf)
         rename = self._jvm.org.apache.hadoop.fs.Options.Rename
-        options = self._jvm.java.lang.reflect.Array.newInstance(rename.OVERWRITE.getClass(), 1)
-        options[0] = rename.OVERWRITE
-        context.rename(self._path(part), self._path(name), options)
+        options = self._jvm.java.lang.reflect.Array.newInstance(rename.NONE.getClass(), 1)
+        options[0] = rename.NONE
+        try:
+            context.rename(self._path(part), self._path(name), options)
+        except Py4JJavaError as failed:
+            self.delete(part)
+            if "FileAlreadyExists" in failed.java_exception.getClass().getName():
+                return False
+            raise
+        return True

@@ -55,7 +55,7 @@ def any_vectors(spark: SparkSession, x, first_id: int = 0) -> DataFrame:
         return from_csr(spark, x, first_id)
     if hasattr(x, "dtype"):
         return from_numpy(spark, x, first_id)
-    raise TypeError(f"Expected a numpy array or a csr matrix but got {type(x)}")
+    raise TypeError(f"No vectors can be read from a {type(x).__name__}; give a list of vectors, a matrix or a CSR matrix")
 
 
 def to_numpy(df: DataFrame, vec_col: str = "vec", id_col: str = "id"):
@@ -66,24 +66,35 @@ def to_numpy(df: DataFrame, vec_col: str = "vec", id_col: str = "id"):
 
 
 def read_fixed_width(spark: SparkSession, path: str, dims: int, id_bytes: int = 10) -> DataFrame:
-    """id string, vec: files of records of an id and `dims` little-endian floats. A broken last record is skipped."""
+    """id string, vec: files of records of an id and `dims` little-endian floats.
+
+    Files are split into ranges of whole records, so that one of any size is read by many tasks. A broken last record is
+    skipped; a file that has one can't be split so, and is read as one row.
+    """
     width = id_bytes + 4 * dims
+    files = spark.read.format("binaryFile").load(path)
+    # Paths go as one list with commas, so a file whose name has one isn't split either.
+    split = (F.col("length") % width == 0) & ~F.contains("path", F.lit(","))
+    whole = [r[0] for r in files.where(split & (F.col("length") > 0)).select("path").collect()]
+    contents = files.where(~split).select("content")
+    if whole:
+        records = spark.sparkContext.binaryRecords(",".join(whole), width).map(lambda r: (r,))
+        contents = spark.createDataFrame(records, "content binary").unionByName(contents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for b in batches:
-            for content in b.column(0).to_pylist():
-                n = len(content) // width
-                for lo in range(0, n, 1000):
-                    some = np.frombuffer(content, np.uint8, (min(n, lo + 1000) - lo) * width, lo * width).reshape(-1, width)
-                    ids = [bytes(r).decode() for r in some[:, :id_bytes]]
-                    cells = np.ascontiguousarray(some[:, id_bytes:]).view("<f4")
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * dims, pa.int32()), pa.array(cells.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), lists], ["id", "vec"])
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, T.StructType([T.StructField("id", T.StringType()), T.StructField("vec", DENSE)]))
+            content = b"".join(c[: len(c) // width * width] for c in b.column(0).to_pylist())
+            n = len(content) // width
+            for lo in range(0, n, 1000):
+                some = np.frombuffer(content, np.uint8, (min(n, lo + 1000) - lo) * width, lo * width).reshape(-1, width)
+                ids = [bytes(r).decode() for r in some[:, :id_bytes]]
+                cells = np.ascontiguousarray(some[:, id_bytes:]).view("<f4")
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * dims, pa.int32()), pa.array(cells.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), lists], ["id", "vec"])
+
+    return contents.mapInArrow(run, T.StructType([T.StructField("id", T.StringType()), T.StructField("vec", DENSE)]))
 
 
 def read_documents(spark: SparkSession, path: str, fields: dict[str, Mapping], other: str = "") -> DataFrame:

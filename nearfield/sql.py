@@ -10,6 +10,8 @@ _SIZES = "sqrt(aggregate(a, 0D, (s, x) -> s + CAST(x * x AS DOUBLE))) * sqrt(agg
 _COMMON = "size(array_intersect(a.true_indices, b.true_indices))"
 _BOTH = "size(a.true_indices) + size(b.true_indices)"
 
+BUCKETS = 64
+
 #: Name: (type of both vectors, the expression).
 FUNCTIONS = {
     "vec_dot": (_DENSE, _DOT),
@@ -28,12 +30,18 @@ def register(spark: SparkSession) -> None:
 
 
 def register_search(spark: SparkSession, name: str, table: str, similarity: str, id_col: str = "id", vec_col: str = "vec") -> None:
-    """SELECT * FROM name(query, k): id, score and rank of the k nearest rows of a table or view."""
+    """SELECT * FROM name(query, k): id, score and rank of the k nearest rows of a table or view.
+
+    Rows are cut to the k best of each of BUCKETS groups by the id's hash first, so one task ranks as many rows as that,
+    however large the table and k are.
+    """
     kind, _ = FUNCTIONS[f"vec_{similarity}"]
     id_type = dict(spark.table(table).dtypes)[id_col]
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION {name}(query {kind}, k INT) RETURNS TABLE (id {id_type}, score DOUBLE, rank INT)
         RETURN SELECT id, score, rank FROM (
-            SELECT {id_col} AS id, vec_{similarity}(query, {vec_col}) AS score,
-                   row_number() OVER (ORDER BY vec_{similarity}(query, {vec_col}) DESC, {id_col}) AS rank
-            FROM {table} WHERE {vec_col} IS NOT NULL) WHERE rank <= k""")
+            SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (
+                SELECT id, score, row_number() OVER (PARTITION BY pmod(xxhash64(id), {BUCKETS}) ORDER BY score DESC, id) AS place
+                FROM (SELECT {id_col} AS id, vec_{similarity}(query, {vec_col}) AS score FROM {table} WHERE {vec_col} IS NOT NULL))
+            WHERE place <= k)
+        WHERE rank <= k""")

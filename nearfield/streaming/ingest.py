@@ -28,12 +28,14 @@ def apply_changes(index: VectorIndex, batch: DataFrame, number: int, stream: str
 
 
 def ingest(changes: DataFrame, index: VectorIndex, stream: str = "stream", order_col: str | None = None, deleted_col: str | None = None, compact_every: int = 50) -> DataStreamWriter:
-    """A writer to start: set a checkpoint location and a trigger first. Parts are merged now and then."""
+    """A writer to start: set a checkpoint location and a trigger first. Parts are merged now and then. One stream writes to
+    an index at a time; a change by another writer meanwhile fails the batch, which is sent again."""
 
     def one(batch: DataFrame, number: int) -> None:
         session_index = VectorIndex(batch.sparkSession, index.path)
         apply_changes(session_index, batch, number, stream, order_col, deleted_col)
         if compact_every and (number + 1) % compact_every == 0:
+            session_index.drop_unused()  # of the merge before this one, which readers have long left
             session_index.compact()
 
     return changes.writeStream.foreachBatch(one)

@@ -73,30 +73,72 @@ def test_hyperplanes_ignore_scale():
     assert model.hash_literal(DenseFloat(tuple(v))) == model.hash_literal(DenseFloat(tuple(7 * v)))
 
 
-@pytest.mark.parametrize("values, k, want", [
-    ([0.1, -0.3, -0.4, 0, 0.2], 4, [(-3, 4), (-2, 3), (5, 2), (1, 1)]),
-    ([2, 2, 0, 0, 1, 4], 4, [(6, 4), (1, 3), (2, 3), (5, 1)]),
-    ([10, -2, 0, 99, 0.1, -8, 42, -13, 6, 0.1], 4, [(4, 4), (7, 3), (-8, 2), (1, 1)]),
-])
-def test_permutation_fixed_results(values, k, want):
-    v = DenseFloat(tuple(values))
-    assert [(t[0], f) for _, t, f in h.model_of(PermutationLsh(len(values), k, True)).hash_literal(v)] == want
-    assert [(t[0], f) for _, t, f in h.model_of(PermutationLsh(len(values), k, False)).hash_literal(v)] == [(x, 1) for x, _ in want]
+def ranked(values, k):
+    """Places from 1 with their sign, by absolute value and then by place, and k less the number of larger ones."""
+    order = sorted(range(len(values)), key=lambda i: (-abs(values[i]), i))[:k]
+    return [(i + 1 if values[i] >= 0 else -i - 1, k - sum(abs(x) > abs(values[i]) for x in values)) for i in order]
+
+
+@pytest.mark.parametrize("k", [1, 3, 6])
+def test_permutations_against_a_ranking(k):
+    r = np.random.default_rng(9)
+    vectors = [r.integers(-4, 5, 6).astype(float) for _ in range(20)] + [np.zeros(6), np.array([3.0, -3, 3, -3, 0, 0])]
+    for v in vectors:
+        want = ranked(v.tolist(), k)
+        assert [(t[0], f) for _, t, f in h.model_of(PermutationLsh(6, k, True)).hash_literal(DenseFloat(tuple(v)))] == want
+        assert [(t[0], f) for _, t, f in h.model_of(PermutationLsh(6, k, False)).hash_literal(DenseFloat(tuple(v)))] == [(x, 1) for x, _ in want]
 
 
 @pytest.mark.parametrize("k", [1, 2, 3])
 @pytest.mark.parametrize("L", [1, 4])
 def test_probes(k, L):
-    """As many as asked or as there are, the plain terms first, all different, each a step of one away, nearest first."""
+    """As many as asked or as there are, the plain terms first, each a step of one away, the nearest border first."""
     model, v = h.model_of(L2Lsh(20, L, k, 2)), DenseFloat(tuple(np.random.default_rng(k).standard_normal(20)))
     plain = model.hash_literal(v)
+    before = plain
     for probes in range(3**k + 3):
         found = model.hash_literal(v, probes)
-        assert len(found) == L * (1 + min(probes, 3**k - 1)) == len(set(found)) and found[:L] == plain
+        assert len(found) == L * (1 + min(probes, 3**k - 1)) and found[:L] == plain and found[: len(before)] == before
         assert all(max(abs(a - b) for a, b in zip(x, plain[t][1])) == 1 for t, x, _ in found[L:])
-    at = model._projections(np.array([v.values], np.float32))[0] / 2
-    far = [sum(abs(p - x) if y < x else x + 1 - p for p, x, y in zip(at[t], plain[t][1], cell) if x != y) for t, cell, _ in model.hash_literal(v, 3**k)[L:]]
-    assert far == sorted(far) or np.allclose(far, sorted(far))
+        before = found
+    if k == 1:
+        assert set(before) == {(t, (x[0] + s,), 1) for t, x, _ in plain for s in (-1, 0, 1)}
+    at = model._projections(np.array([v.values], np.float32))[0] / 2 - np.array([x for _, x, _ in plain])
+    t, x, _ = before[L]
+    assert [j for j in range(k) if x[j] != plain[t][1][j]] == [int(np.minimum(at, 1 - at)[t].argmin())] and t == int(np.minimum(at, 1 - at).min(axis=1).argmin())
+
+
+@pytest.mark.parametrize("inside, want", [
+    # One coordinate: both sides, nearest first.
+    ([[0.3]], [(0, (-1,)), (0, (1,))]),
+    # The steps are a- 0.2, b- 0.4, b+ 0.65, a+ 0.8. The set a- b- meets b+ beside b-, then a+: both end. The set b- meets
+    # b+, gives b- up and goes on to a+, with a sum of 1.2; a+ came before by itself, and a+ b- comes never.
+    ([[0.2, 0.35]], [(0, (-1, 0)), (0, (0, -1)), (0, (-1, -1)), (0, (0, 1)), (0, (0 + 1, 0)), (0, (-1, 1)), (0, (1, 0)), (0, (1, 1))]),
+    # Two tables share one order.
+    ([[0.1], [0.3]], [(0, (-1,)), (1, (-1,)), (1, (1,)), (0, (1,))]),
+])
+def test_probes_followed_by_hand(inside, want):
+    inside = np.array(inside)
+    model = h.StableDistributions(3, *inside.shape, 1)
+    got = model._probes(np.zeros(inside.shape, np.int64), inside, 99)
+    assert [(t, x) for t, x, _ in got] == want
+
+
+@pytest.mark.parametrize("mapping", [*DENSE, *SPARSE, CosineLsh(12, 300, 9), HammingLsh(40, 200, 16)], ids=str)
+def test_terms_by_their_bytes(spark, mapping):
+    from nearfield.operators.approximate import lookup_bytes, postings_of
+
+    x, df = rows_of(spark, mapping, 12)
+    model, postings = h.model_of(mapping), postings_of(df, h.model_of(mapping)).persist()
+    rows = postings.collect()
+    for term in sorted({(r["tbl"], tuple(r["hash"])) for r in rows})[::7]:
+        raw = model.term_bytes(*term)
+        assert term in model.terms_of(raw)
+        same = {(r["id"], r["tbl"]) for r in rows if model.term_bytes(r["tbl"], tuple(r["hash"])) == raw}
+        assert {(r["id"], r["tbl"]) for r in lookup_bytes(postings, model, raw).collect()} == same
+    assert lookup_bytes(postings, model, b"123456789").count() == 0
+    with pytest.raises(VectorError, match="doesn't support term queries with value of type .str."):
+        lookup_bytes(postings, model, "term")
 
 
 def test_models_are_shared_and_checked():

@@ -164,6 +164,102 @@ def test_search_delete_and_insert_again(spark, corpus, index):
     assert index.rows().count() == 1000
 
 
+def scans(spark, run):
+    """The rows that Parquet scans gave while run() ran."""
+    listed = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def executions():
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        return {e.executionId() for e in listed(store.executionsList())}
+
+    before = executions()
+    run()
+    total = 0
+    for e in executions() - before:
+        values = listed(store.executionMetrics(e))
+        for node in listed(store.planGraph(e).allNodes()):
+            if node.name().startswith("Scan parquet"):
+                rows = [m for m in listed(node.metrics()) if m.name() == "number of output rows"]
+                total += sum(int((values.get(m.accumulatorId()) or "0").replace(",", "")) for m in rows)
+    return total
+
+
+def test_searches_read_little(spark, tmp_path):
+    """With 100 tables, a search reads under 5 % of the rows and of the postings, and finds what a scan finds."""
+    r = np.random.default_rng(12)
+    n, dims = 100_000, 16
+    x = (r.standard_normal((200, dims))[r.integers(0, 200, n)] + 0.1 * r.standard_normal((n, dims))).astype(np.float32)
+    df, mapping = from_numpy(spark, x), m.L2Lsh(dims, 100, 4, 1)
+    index = VectorIndex.create(df, str(tmp_path / "large"), {"vec": mapping})
+    postings = index.postings("vec").count()
+    assert postings == 100 * n
+    ask = q.L2LshQuery("vec", 50, 0, DenseFloat(tuple(x[777])))
+    found = []
+    read = scans(spark, lambda: found.extend(search(ask, index, 10).collect()))
+    assert 0 < read < 0.05 * (n + postings), read
+    terms = model_of(mapping).hash_literal(ask.vec)
+    rows = scans(spark, lambda: index.rows_of([r["id"] for r in found]).collect())
+    assert 10 <= rows < 0.05 * n
+    assert scans(spark, lambda: index.get(4321, "vec")) < 0.01 * n
+    lists = scans(spark, lambda: index.postings("vec", terms).collect())
+    assert lists < 0.05 * postings
+    plain = a.approximate_topk(df, a.postings_of(df, model_of(mapping)), ask.vec, model_of(mapping), "l2", 50, 10).collect()
+    assert [tuple(x) for x in found] == [(x["id"], x["score"], x["hits"]) for x in plain]
+
+
+def test_keys_of_terms(spark):
+    from nearfield.sources.index import key_of, term_key
+
+    terms = [(0, (1,), 1), (3, (-5, 2**31 - 1, 0), 2), (-1, (2038074743,), 1), (7, (-(2**31),), 1)]
+    df = spark.createDataFrame([(t, list(h)) for t, h, _ in terms], "tbl int, hash array<int>")
+    assert [r[0] for r in df.select(term_key(F.col("tbl"), F.col("hash"))).collect()] == [key_of(t) for t in terms]
+
+
+def test_lookups_of_many_and_of_no_ids(spark, corpus, index):
+    x, df = corpus
+    index.upsert(df.where("id % 10 = 3").withColumn("vec", F.transform("vec", lambda v: -v)))
+    index.delete(df.where("id % 10 = 4").select("id"))
+    ids = [*range(0, 1000, 7), 5000, -1]
+    got = {r["id"]: r["vec"] for r in index.rows_of(ids).collect()}
+    assert got == {r["id"]: r["vec"] for r in index.rows().where(F.col("id").isin(ids)).collect()} and len(got) > 100
+    assert index.rows_of([]).count() == index.postings("vec", []).count() == 0
+    named = VectorIndex.create(df.withColumn("id", F.concat(F.lit("n\u00e9"), F.col("id"))), index.path + "-named", {"vec": m.DenseFloatMapping(10)})
+    assert list(named.get("n\u00e9512", "vec").values) == x[512].tolist() and {r["id"] for r in named.rows_of(["n\u00e91", "n\u00e999", "z"]).collect()} == {"n\u00e91", "n\u00e999"}
+
+
+def test_changes_are_safe(spark, corpus, index, tmp_path):
+    """Nothing is lost by a failed replacement, by another writer, by repeated ids, or by vectors inside structs."""
+    x, df = corpus
+    wrong = df.withColumn("vec", F.slice("vec", 1, 9))
+    with pytest.raises(PySparkException, match="Expected dimension 10 but got 9"):
+        VectorIndex.create(wrong, index.path, {"vec": m.DenseFloatMapping(10)}, replace=True)
+    assert VectorIndex(spark, index.path).rows().count() == 1000
+    before = sorted(index._files.names())
+    with pytest.raises(VectorError, match="Expected distinct ids"):
+        index.upsert(df.where("id < 3").unionByName(df.where("id = 2")))
+    with pytest.raises(VectorError, match="Expected distinct ids"):
+        index.upsert(df.where("id < 3").withColumn("id", F.lit(None).cast("long")))
+    assert sorted(index._files.names()) == before
+    other, number = VectorIndex(spark, index.path), index._number()
+    index._number = lambda: number
+    other.delete(df.where("id = 1").select("id"))
+    with pytest.raises(VectorError, match="changed by another writer"):
+        index.delete(df.where("id = 2").select("id"))
+    del index._number
+    assert index.rows().count() == 999
+    VectorIndex.create(df.where("id < 10"), index.path, {"vec": m.DenseFloatMapping(10)}, replace=True)
+    assert index.rows().count() == 10
+    index.drop_unused()
+    assert index.rows().count() == 10 and len(index._files.names()) == 2
+    nested = df.select("id", F.struct(F.struct("vec").alias("bar")).alias("foo"))
+    with pytest.raises(PySparkException, match="Expected dimension 11 but got 10"):
+        VectorIndex.create(nested, str(tmp_path / "nested"), {"foo.bar.vec": m.L2Lsh(11, 5, 1, 2)})
+    inside = VectorIndex.create(nested, str(tmp_path / "nested"), {"foo.bar.vec": m.L2Lsh(10, 50, 1, 2)})
+    got = search(q.L2LshQuery("foo.bar.vec", 100, 0, Indexed(inside.path, 9, "foo.bar.vec")), inside, 1).first()
+    assert (got["id"], got["score"]) == (9, 1.0)
+
+
 def test_results_are_the_same_in_every_run(corpus, index):
     x, _ = corpus
     ask = q.L2LshQuery("vec", 30, 0, DenseFloat(tuple(x[77])))
@@ -250,6 +346,19 @@ def test_stream(spark, corpus, index, tmp_path):
     assert index.rows().where("id >= 10000").count() == 30 and index.rows().count() == 1030
 
 
+def test_sql_search_of_many_rows(spark, corpus):
+    """However large k is, no task gets the whole table."""
+    x, df = corpus
+    df.createOrReplaceTempView("sql_many")
+    sql.register(spark)
+    sql.register_search(spark, "near_l2", "sql_many", "l2")
+    asked = "array(" + ", ".join(f"CAST({float(v)!r} AS FLOAT)" for v in x[9]) + ")"
+    got = spark.sql(f"SELECT id, rank FROM near_l2({asked}, 700)")
+    assert {(r["id"], r["rank"]) for r in got.collect()} == {(r["id"], n + 1) for n, r in enumerate(exact_topk(df, DenseFloat(tuple(x[9])), "l2", 700).collect())}
+    plan = spark.sql(f"SELECT id, rank FROM near_l2({asked}, 5000)")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("hashpartitioning(_w0") > plan.index("place#") > plan.index("SinglePartition")
+
+
 def test_sql(spark, corpus):
     x, df = corpus
     df.createOrReplaceTempView("sql_corpus")
@@ -292,7 +401,7 @@ def test_facade(spark, algorithm, metric, params, at_least):
 
 def test_facade_errors_and_inputs(spark):
     for pair in (("exact", "nope"), ("lsh", "l1"), ("nope", "l2")):
-        with pytest.raises(VectorError, match="should be one of"):
+        with pytest.raises(VectorError, match="there are"):
             NearestNeighbors(spark, *pair)
     with pytest.raises(VectorError, match="fit"):
         NearestNeighbors(spark, "exact", "l2").kneighbors(np.eye(2), 1)
@@ -316,8 +425,20 @@ def test_readers(spark, tmp_path):
         for n in range(5):
             f.write(f"id{n:08d}".encode() + struct.pack("<3f", n, n + 1, n + 2))
         f.write(b"broken")
+    want = [(f"id{n:08d}", [n, n + 1, n + 2]) for n in range(5)]
     got = read_fixed_width(spark, str(tmp_path / "v.bin"), 3).orderBy("id").collect()
-    assert [(r["id"], r["vec"]) for r in got] == [(f"id{n:08d}", [n, n + 1, n + 2]) for n in range(5)]
+    assert [(r["id"], r["vec"]) for r in got] == want
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "empty.bin").write_bytes(b"")
+    (tmp_path / "many" / "v 1.bin").write_bytes(b"".join(f"x{n:09d}".encode() + struct.pack("<3f", n, 0, 1) for n in range(50_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    split = read_fixed_width(spark, str(tmp_path / "many"), 3)
+    assert split.rdd.getNumPartitions() > 1 and split.count() == 50_000
+    assert [(r["id"], r["vec"][0]) for r in split.orderBy("id").limit(2).collect()] == [("x000000000", 0), ("x000000001", 1)]
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "many" / "x,y.bin").write_bytes(b"comma-1234" + struct.pack("<3f", 0, 0, 1))
+    (tmp_path / "v.bin").rename(tmp_path / "many" / "broken.bin")
+    assert read_fixed_width(spark, str(tmp_path / "many"), 3).count() == 50_006
     with gzip.open(tmp_path / "d.json.gz", "wt") as f:
         for d in ({"id": 1, "v": [1, 2], "b": [[1, 0], 4]}, {"id": 2, "v": {"values": [3, 4]}, "b": {"true_indices": [2], "total_indices": 4, "x": 1}}, {"id": 3}):
             f.write(json.dumps(d) + "\n")
