@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, let, unhot_join, words
+from .common import SPACE, Stash, let, unhot_join, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -30,29 +30,47 @@ MAX_RATE = 0.5
 WEAK_PRIOR = 2.0
 
 
+def window_hash(window: Column) -> Column:
+    return F.xxhash64(window)
+
+
 def repeated_words(found: Column, window: int = WINDOW) -> Column:
     """Words that lie in windows which the array holds twice or more.
 
-    Windows are compared by their words. Texts whose windows are all different, by a set of hashes, are done then;
-    the others sort (window, place), keep places whose neighbour has the same window, and add up the words from
-    each kept place to the next, at most a window.
+    Windows are hashed, and texts whose hashes all differ are done then. The others sort (hash, place). If neighbours of one
+    hash have the same words, as they nearly always do, places that have such a neighbour are kept; else the windows
+    themselves are sorted. From each kept place to the next, at most a window, words are counted.
     """
+    none = F.lit(0).cast("long")
 
     def covered(places: Column) -> Column:
         gaps = F.transform(places, lambda p, i: F.least(F.lit(window), F.coalesce(F.get(places, i + 1) - p, F.lit(window))))
-        return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, b: a + b)
+        return F.aggregate(gaps, none, lambda a, b: a + b)
 
-    def repeats(ordered: Column) -> Column:
-        same = lambda x, i: (F.get(ordered, i)["w"] == x["w"])
-        twin = F.filter(ordered, lambda x, i: F.coalesce(F.when(i > 0, same(x, i - 1)), F.lit(False)) | F.coalesce(same(x, i + 1), F.lit(False)))
-        return let(F.sort_array(F.transform(twin, lambda x: x["i"])), covered)
+    def twins(ordered: Column, of: str) -> Column:
+        """What is counted of places that have a neighbour with the same value."""
+        same = lambda x, i: F.coalesce(F.get(ordered, i)[of] == x[of], F.lit(False))
+        kept = F.filter(ordered, lambda x, i: same(x, i - 1) | same(x, i + 1))
+        return let(F.sort_array(F.transform(kept, lambda x: x["i"])), covered)
 
     def counted(w: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(w) - window)
-        hashes = F.transform(starts, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(window))))
-        placed = F.transform(starts, lambda i: F.struct(F.slice(w, i + 1, window).alias("w"), i.alias("i")))
-        all_differ = let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h))
-        return F.when(F.size(w) < window, F.lit(0).cast("long")).when(all_differ, F.lit(0).cast("long")).otherwise(let(F.sort_array(placed), repeats))
+        n = F.greatest(F.size(w) - (window - 1), F.lit(0))
+        at = lambda i: F.slice(w, i + 1, window)
+
+        def by_words() -> Column:
+            return let(F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(at(i).alias("w"), i.alias("i")))), lambda x: twins(x, "w"))
+
+        def by_hash(ordered: Column) -> Column:
+            before = lambda i: F.get(ordered, i - 1)
+            unlike = F.filter(ordered, lambda x, i: F.coalesce((before(i)["h"] == x["h"]) & (at(before(i)["i"]) != at(x["i"])), F.lit(False)))
+            return F.when(F.size(unlike) == 0, twins(ordered, "h")).otherwise(by_words())
+
+        def hashed(h: Column) -> Column:
+            placed = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+            return F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(let(F.sort_array(placed), by_hash))
+
+        windows = F.arrays_zip(*(F.slice(w, k + 1, n) for k in range(window)))
+        return F.when(n == 0, none).otherwise(let(F.transform(windows, window_hash), hashed))
 
     return let(found, counted)
 
@@ -60,11 +78,11 @@ def repeated_words(found: Column, window: int = WINDOW) -> Column:
 def measures(text: Column) -> dict[str, Column]:
     text = F.coalesce(text, F.lit(""))
     found = F.col("_words")
-    full = lambda lines: F.filter(lines, lambda x: F.translate(x, " \t\n\x0b\x0c\r", "") != "")
+    full = lambda lines: F.filter(lines, lambda x: F.btrim(x, F.lit(SPACE)) != "")
     return {
         "n_words": F.size(found).cast("long"),
         "word_chars": F.char_length(F.array_join(found, "")).cast("long"),
-        "n_symbols": (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": let(full(F.split(text, "\n", -1)), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": repeated_words(found).cast("long"),
     }

@@ -44,6 +44,17 @@ def test_a_failing_host_loses_its_documents(documents):
     assert {r["doc_id"] for r in quality_rules.kept_documents(documents(rows, source)).collect()} == kept
 
 
+def test_windows_whose_hashes_clash(documents, monkeypatch):
+    """With few hashes for all windows, their words still decide."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(quality_rules, "window_hash", lambda w: F.xxhash64(w) % 3)
+    r = random.Random(16)
+    rows = [(i, " ".join(r.choice("ab") for _ in range(r.randint(0, 40)))) for i in range(60)]
+    got = {x["doc_id"]: x["n_repeat_words"] for x in quality_rules.quality_rules(documents(rows)).collect()}
+    assert got == {i: brute_measures(t)[4] for i, t in rows}
+
+
 def test_planted_hosts_against_sql(spark, documents, tmp_path):
     """Hosts of many sizes, some of which fail often, one with a third of all rows: verdicts and rates as SQL has them."""
     from nearfield.llm import queries
