@@ -501,6 +501,115 @@ def upsert_delete_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(search(ask, index, K))
 
 
+def _changed_sql(columns: str) -> str:
+    """n: all rows, with every eleventh vector turned and ten rows more, and without those whose id is divisible by 13."""
+    return f"""WITH d AS ({_DOC}), n AS (SELECT id, CASE WHEN id % 11 = 5 THEN list_transform(vec, lambda x: (-x)::FLOAT) ELSE vec END AS vec, label FROM d WHERE id % 13 <> 0
+UNION ALL SELECT 1000000 + id AS id, vec, label FROM d WHERE id BETWEEN 10 AND 19), q AS (SELECT vec FROM d WHERE id = 7){columns}"""
+
+
+def _changed(df: DataFrame) -> DataFrame:
+    """What _changed_sql() adds and turns."""
+    turned = df.where("id % 11 = 5 AND id % 13 <> 0").withColumn("vec", F.transform("vec", lambda x: -x))
+    return turned.unionByName(df.where("id BETWEEN 10 AND 19").withColumn("id", F.col("id") + 1000000))
+
+
+@query(_changed_sql(f", s AS (SELECT d.id, {_score('cosine')} AS score FROM n AS d, q) SELECT id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT {K}"))
+def compacted_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On an index: deletes and upserts, merged into one base, after which what was merged is dropped."""
+    df = _dense(spark, sf_dir)
+    index = VectorIndex.create(df, scratch_path(spark, "index"), {"vec": DenseFloatMapping(DIMS)})
+    asked = index.get(7, "vec")
+    index.delete(df.where("id % 13 = 0").select("id"))
+    index.upsert(_changed(df))
+    index.compact()
+    index.drop_unused()
+    return _rounded(search(Exact("vec", Similarity.COSINE, asked), index, K))
+
+
+@query(_changed_sql(f", s AS (SELECT d.id, {_score('l1')} AS score FROM n AS d, q) SELECT id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT {K}"))
+def streamed_changes_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of half the rows takes the rest, with the changes, from a stream; a search follows."""
+    from .streaming.ingest import ingest
+
+    df = _dense(spark, sf_dir)
+    asked = _vector(df, 7)
+    index = VectorIndex.create(df.where("id % 2 = 0"), scratch_path(spark, "index"), {"vec": DenseFloatMapping(DIMS)})
+    source = scratch_path(spark, "changes")
+    # A change of each id; the rest of the columns of a deletion don't matter.
+    changes = df.where("id % 2 = 1 AND id % 11 <> 5 AND id % 13 <> 0").unionByName(_changed(df)).withColumn("gone", F.lit(False))
+    changes.unionByName(df.where("id % 13 = 0").withColumn("gone", F.lit(True))).write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 4).parquet(source)
+    running = ingest(stream, index, deleted_col="gone").option("checkpointLocation", scratch_path(spark, "stream")).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return _rounded(search(Exact("vec", Similarity.L1, asked), index, K))
+
+
+@query(f"{_top_sql('l2').replace(' SELECT id,', ' SELECT id, ' + repr('Exact similarity of the query vector and the stored vector.') + ' AS explanation,')}")
+def explain_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.planner import plan
+
+    index = _index(spark, sf_dir, DenseFloatMapping(DIMS))
+    return _rounded(plan(Exact("vec", Similarity.L2, Indexed(index.path, ASKED, "vec")), index).explained(K))
+
+
+@query(f"""SELECT id, hits, score, printf('Share [%d] of [%d] hashes. Exact similarity is [%.3f].', hits, {HAMMING.L}, score) AS explanation FROM ({_lsh_sql(HAMMING, 'hamming')})""")
+def explain_lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With three places of the score, which is a share of 64."""
+    from .plans.planner import plan
+
+    index = _index(spark, sf_dir, HAMMING)
+    found = plan(_lsh_query(HAMMING, "hamming", Indexed(index.path, ASKED, "vec")), index).explained(K)
+    short = F.regexp_replace("explanation", r"(\.\d{3})\d*\]\.$", "$1].")
+    return _rounded(found.select("id", "hits", "score", short.alias("explanation")))
+
+
+def _words_sql(column: str) -> str:
+    return f"len(list_intersect(string_split_regex(lower(coalesce({column}, '')), '[^\\p{{L}}\\p{{N}}]+'), {_WORDS}))"
+
+
+@query(f"SELECT doc_id, greatest(2.0::DOUBLE * {_words_sql('text')}, 3.0::DOUBLE * {_words_sql('source')}, 0.5::DOUBLE * {_words_sql('lang')}) AS score FROM documents")
+def multi_match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of three fields' keyword scores, each with a boost."""
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", scoring.multi_match({"text": 2.0, "source": 3.0, "lang": 0.5}, _WORDS).alias("score"))
+
+
+def _facade(name: str, algorithm: str, metric: str, params: dict, sql: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .facade import NearestNeighbors
+
+        df = _dense(spark, sf_dir)
+        fitted = NearestNeighbors(spark, algorithm, metric, params, {"candidates": CANDIDATES}).fit(df)
+        return _rounded(fitted.kneighbors_frame(df.withColumnRenamed("id", "qid"), K))
+
+    run.__name__ = name
+    return query(sql)(run)
+
+
+_facade("facade_exact_euclidean", "exact", "euclidean", {}, _join_sql("l2"))
+_facade("facade_lsh_angular", "lsh", "angular", {"L": COSINE.L, "k": COSINE.k}, f"SELECT qid, id, score, rank FROM ({_lsh_join_sql(COSINE, 'cosine')})")
+
+
+@query(f"""WITH d AS ({_DOC}), s AS ({_SPARSE_DOC}) SELECT d.id, CASE WHEN id % 7 <> 3 THEN round(list_sum(list_transform(d.vec, lambda x: x::DOUBLE)), 3) END AS total,
+CASE WHEN id % 7 <> 4 THEN list_sum(s.vec)::BIGINT END AS places, CASE WHEN id % 7 <> 4 THEN {DIMS} END AS total_indices FROM d JOIN s USING (id)""")
+def vectors_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors in both JSON forms, short and long, some of them wrong, read from JSON documents."""
+    from .sources.readers import read_documents
+
+    df, path = _dense(spark, sf_dir), scratch_path(spark, "json")
+    odd, listed = F.col("id") % 2 == 1, F.to_json("vec")
+    dense = F.when(F.col("id") % 7 == 3, F.lit("[1, [2]]")).when(odd, listed).otherwise(F.concat(F.lit('{"x": 1, "values": '), listed, F.lit("}")))
+    bits = transform.positive_positions(F.col("vec"))
+    short = F.concat(F.lit("["), F.to_json(bits["true_indices"]), F.lit(f", {DIMS}]"))
+    sparse = F.when(F.col("id") % 7 == 4, F.lit('{"true_indices": 3}')).when(odd, F.to_json(bits)).otherwise(short)
+    lines = F.concat(F.lit('{"id": '), "id", F.lit(', "vec": '), dense, F.lit(', "bits": '), sparse, F.lit("}"))
+    df.select(lines.alias("value")).write.text(path)
+    got = read_documents(spark, path, {"vec": DenseFloatMapping(DIMS), "bits": JACCARD}, "id long")
+    total = F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double")), 3)
+    places = F.aggregate("bits.true_indices", F.lit(0).cast("long"), lambda s, i: s + i)
+    return got.select("id", total.alias("total"), places.alias("places"), F.col("bits.total_indices").alias("total_indices"))
+
+
 @query(f"""WITH b AS (SELECT l_orderkey AS id, list_sort(list_distinct(list(l_partkey))) AS vec FROM lineitem GROUP BY l_orderkey),
 q AS (SELECT vec FROM b ORDER BY len(vec) DESC, id LIMIT 1), s AS (SELECT d.id, {_score('jaccard')} AS score FROM b AS d, q) SELECT id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT {K}""")
 def basket_jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
