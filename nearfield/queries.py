@@ -552,15 +552,13 @@ def explain_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(plan(Exact("vec", Similarity.L2, Indexed(index.path, ASKED, "vec")), index).explained(K))
 
 
-@query(f"""SELECT id, hits, score, printf('Share [%d] of [%d] hashes. Exact similarity is [%.3f].', hits, {HAMMING.L}, score) AS explanation FROM ({_lsh_sql(HAMMING, 'hamming')})""")
+@query(f"""SELECT id, hits, score, printf('Share [%d] of [%d] hashes. Exact similarity is [%f].', hits, {HAMMING.L}, score) AS explanation FROM ({_lsh_sql(HAMMING, 'hamming')})""")
 def explain_lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With three places of the score, which is a share of 64."""
+    """The text has six places of the score, which is a share of 64 and so needs no more."""
     from .plans.planner import plan
 
     index = _index(spark, sf_dir, HAMMING)
-    found = plan(_lsh_query(HAMMING, "hamming", Indexed(index.path, ASKED, "vec")), index).explained(K)
-    short = F.regexp_replace("explanation", r"(\.\d{3})\d*\]\.$", "$1].")
-    return _rounded(found.select("id", "hits", "score", short.alias("explanation")))
+    return _rounded(plan(_lsh_query(HAMMING, "hamming", Indexed(index.path, ASKED, "vec")), index).explained(K))
 
 
 def _words_sql(column: str) -> str:
