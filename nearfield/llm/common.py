@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,9 @@ HEAVY = 1000
 #: The folders of applications that name none.
 _OWN: dict[str, str] = {}
 
+#: Rows of a few numbers that one file holds, where nothing else says how many files to write.
+FILE_ROWS = 500_000
+
 #: What was written in each open scratch(), the innermost last.
 _OPEN: list[list] = []
 
@@ -77,6 +81,24 @@ class Stash:
         _delete(self.spark, self.path)
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has few columns and about so many rows, in as few parts as that takes."""
+    return df.coalesce(1 + rows // FILE_ROWS)
+
+
+class Held:
+    """A narrow result that executors keep on their disks for several uses. What a lost executor held is made again from
+    what it was made of, and plans go on from there, so results that number rows or end chains are stashed instead."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df.persist(StorageLevel.DISK_ONLY)
+        if _OPEN:
+            _OPEN[-1].append(self)
+
+    def drop(self) -> None:
+        self.df.unpersist()
+
+
 class Bucketed:
     """A table like a stash whose files are dealt by a key: joins and groups by it don't shuffle it."""
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, Stash, numbered_rows, unhot_join
+from .common import SPACE_CLASS, Held, Stash, numbered_rows, unhot_join
 
 SALTS = 16
 
@@ -66,7 +66,7 @@ def _verdicts(docs: DataFrame, id_col: str, text_col: str, row: Column) -> DataF
     joined = joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
     # Rows that repeat both doc_id and text: the first of them alone is kept.
     repeated = rows.groupBy("_group", "doc_id").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
-    repeated = Stash(repeated.select(F.struct("_group", "doc_id").alias("_twins"), "_first", "_rows"), "exact-repeated").df
+    repeated = Held(repeated.select(F.struct("_group", "doc_id").alias("_twins"), "_first", "_rows")).df
     if not repeated.isEmpty():
         joined = unhot_join(joined.withColumn("_twins", F.struct("_group", "doc_id")), repeated, "_twins", "_rows", total, "left")
         joined = joined.withColumn("kept", F.col("kept") & F.coalesce(F.col("_row") == F.col("_first"), F.lit(True)))

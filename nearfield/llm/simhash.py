@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stash, numbered_rows, stash, unhot_join
+from .common import Held, Stash, numbered_rows, sized, stash, unhot_join
 
 SHINGLE, BLOCKS, DISTANCE, BUCKET = 3, 4, 2, 32
 
@@ -72,9 +72,9 @@ def links(prints: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE, buc
     if distance % 2 or not 0 < distance < blocks:
         raise ValueError("distance must be even and less than blocks")
     keyed = prints.select("_print", F.explode(block_keys(F.col("_print"), blocks, distance)).alias("_key"))
-    sizes = Stash(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "simhash-buckets").df
+    sizes = Held(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")).df
     total = prints.count()
-    shared = Stash(unhot_join(keyed, sizes, "_key", "_n", total), "simhash-shared").df
+    shared = Held(unhot_join(keyed, sizes, "_key", "_n", total)).df
     small = shared.where(F.col("_n") <= bucket)
     a, b = small.select("_key", F.col("_print").alias("u")), small.select("_key", F.col("_print").alias("v"))
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance
@@ -102,10 +102,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        step = Stash(large, "simhash-large")
+        step = Stash(sized(large, 2 * state[0]), "simhash-large")
         least = step.df.groupBy("u").agg(F.min("v").alias("m"))
         small = step.df.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
-        after, found = checked(small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u > v").distinct())
+        after, found = checked(sized(small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u > v").distinct(), 2 * state[0]))
         step.drop()
         now.drop()
         now, (state, before) = after, (found, state)
