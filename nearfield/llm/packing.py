@@ -32,6 +32,8 @@ DIMENSIONS, BITS, BUCKETS = 4, 10, 256
 #: Of the key's bits, those of a cell and those that each cut of a heavy cell adds; and the parts that a task of the
 #: shuffle gets, so that tasks are even.
 CELL_BITS, FINER, PARTS_A_TASK = 16, 8, 4
+#: Texts that are tokenised at a time.
+SLICE_ROWS, SLICE_BYTES = 2500, 8 << 20
 #: Words that a worker remembers the ids of, twice.
 REMEMBERED = 400_000
 
@@ -134,20 +136,39 @@ class WordEncoder:
         if len(joined) < len(new):
             self.known.update((w, self._ids(w).tobytes()) for w in new if w not in self.known)
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        found = list(map(self.known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            if len(self.known) + len(missing) > self.remembered:
+                self.older, self.known = self.known, {}
+            again = {w: self.older[w] for w in (words[i] for i in missing) if w in self.older}
+            self.known |= again | {b"": b""}
+            self._learn([w for w in (words[i] for i in missing) if w and w not in again])
+            for i in missing:
+                found[i] = self.known[words[i]]
+        return found
+
+    def __call__(self, texts: pa.Array):
+        """(all ids of the texts in order, how many each text has)."""
+        import numpy as np
+        import pyarrow.compute as pc
+
         if self.plain is None:
-            return [self._ids(t).tobytes() for t in texts]
-        found = [t.split() for t in texts]
-        words = set().union(*found)
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > self.remembered:
-            self.older, self.known, new = self.known, {}, words
-        again = new.intersection(self.older)
-        self.known.update((w, self.older[w]) for w in again)
-        self._learn(list(new - again))
-        # The words of these texts alone lie closer together in memory.
-        of = {w: self.known[w] for w in words}.__getitem__
-        return [b"".join(map(of, f)) for f in found]
+            found = [self._ids(t or b"") for t in texts.cast(pa.binary()).to_pylist()]
+            return np.concatenate([np.zeros(0, self.kind), *found]), np.array([len(x) for x in found], np.int64)
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = split.flatten().dictionary_encode()
+        which = words.indices.to_numpy(zero_copy_only=False)
+        ids = self._ids_of(words.dictionary.cast(pa.binary()).to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.size
+        first, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), self.kind)
+        # Of each word in turn the run of its ids.
+        many = sizes[which]
+        upto = np.concatenate([[0], np.cumsum(many)])
+        ends = np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
+        return flat[np.arange(upto[-1]) + np.repeat(first[which] - upto[:-1], many)], np.diff(upto[ends])
 
 
 @lru_cache(maxsize=1)
@@ -184,6 +205,20 @@ def hilbert(cells, bits: int = BITS):
     return key
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most SLICE_ROWS rows and SLICE_BYTES bytes, or one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(texts):
+        most = (ends[lo - 1] if lo else 0) + SLICE_BYTES
+        hi = min(lo + SLICE_ROWS, max(lo + 1, int(np.searchsorted(ends, most, "right"))))
+        yield lo, hi
+        lo = hi
+
+
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, key, n_tokens, ids (4 bytes each, little-endian; 2 where the vocabulary allows)."""
 
@@ -191,19 +226,26 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
         import numpy as np
 
         kind = _width(tokenizer, end_id)
-        encode, end = _encoder(tokenizer, kind), np.array([end_id], kind).tobytes()
+        encode = _encoder(tokenizer, kind)
         axes = np.random.default_rng(0).standard_normal((BUCKETS, DIMENSIONS))
         for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            for lo in range(0, len(texts), 1000):
-                ids = encode([t or b"" for t in texts[lo : lo + 1000]])
-                places = ((np.frombuffer(x, kind).astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(24) for x in ids)
-                hashed = np.array([np.bincount(x, minlength=BUCKETS) for x in places], float)
+            texts = b.column(1)
+            for lo, hi in _slices(texts):
+                ids, lengths = encode(texts.slice(lo, hi - lo))
+                n = hi - lo
+                places = (ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(24)
+                hashed = np.bincount(np.repeat(np.arange(n) * BUCKETS, lengths) + places, minlength=n * BUCKETS).reshape(n, BUCKETS).astype(float)
                 length = np.linalg.norm(hashed, axis=1, keepdims=True)
                 spread = (hashed / np.maximum(length, 1)) @ axes
                 cells = np.clip((1 << BITS) * (0.5 + np.arctan(spread) / np.pi), 0, (1 << BITS) - 1).astype(np.int64)
-                full = [x + end for x in ids]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(ids)), pa.array(hilbert(cells)), pa.array([len(x) // len(end) for x in full], pa.int64()), pa.array(full, pa.binary())], ["doc_id", "key", "n_tokens", "ids"])
+                ends = np.cumsum(lengths + 1)
+                full = np.full(len(ids) + n, end_id, kind)
+                inside = np.ones(len(full), bool)
+                inside[ends - 1] = False
+                full[inside] = ids
+                offsets = np.concatenate([[0], ends * full.itemsize]).astype(np.int32)
+                whole = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(full)])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), pa.array(hilbert(cells)), pa.array(lengths + 1), whole], ["doc_id", "key", "n_tokens", "ids"])
 
     schema = T.StructType([docs.schema[0], T.StructField("key", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     return docs.mapInArrow(run, schema)

@@ -5,6 +5,7 @@ from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from nearfield.llm import byte_bpe, packing, sharding, url_filter
@@ -263,7 +264,20 @@ def test_ids_of_words_of_all_kinds():
     letters += ["\u0301", "\u0308", "\u0130", "\u017f", "\u212a", "\u212b", "\ufb01", "\u4f60", "\u00ad", "\x01", "<|endoftext|>", "\u03a3"]
     for _ in range(4000):
         text = " ".join("".join(r.choice(letters) for _ in range(r.randint(1, 7))) for _ in range(2))
-        assert np.frombuffer(e([text.encode()])[0], "<u2").tolist() == t.encode(text, add_special_tokens=False).ids, text
+        assert encoded(e, [text]) == [t.encode(text, add_special_tokens=False).ids], text
+
+
+def encoded(encoder, texts):
+    ids, lengths = encoder(pa.array(texts, pa.string()))
+    ends = np.cumsum(lengths).tolist()
+    return [ids[a:b].tolist() for a, b in zip([0, *ends], ends)]
+
+
+def test_slices_of_texts():
+    texts = pa.array(["a" * n for n in (1, 0, 5, packing.SLICE_BYTES + 1, 3)] + [None] + ["b"] * 3 * packing.SLICE_ROWS)
+    got, n = list(packing._slices(texts)), packing.SLICE_ROWS
+    assert got == [(0, 3), (3, 4), (4, 4 + n), (4 + n, 4 + 2 * n), (4 + 2 * n, 4 + 3 * n), (4 + 3 * n, 6 + 3 * n)]
+    assert list(packing._slices(texts.slice(0, 0))) == []
 
 
 def test_tokenizers_that_keep_white_space_get_whole_texts():
@@ -271,13 +285,13 @@ def test_tokenizers_that_keep_white_space_get_whole_texts():
 
     path = tokenizer_path("byte_bpe_50k.json")
     texts = ["ab cd", "", "  two  spaces\n", "don't \u00e9\u4f60"]
-    got = packing.WordEncoder(path, "<u2")([t.encode() for t in texts])
-    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoded(packing.WordEncoder(path, "<u2"), texts) == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_words_are_forgotten_and_learned_again():
     e = packing.WordEncoder(WORDS, "<u2", remembered=10)
-    texts = [" ".join(f"w{(i * 7 + j) % 40}" for j in range(6)).encode() for i in range(30)]
-    got = [np.frombuffer(e([t])[0], "<u2").tolist() for t in texts]
-    assert got == [ids[:-1] for _, ids in brute_ids([(0, t.decode()) for t in texts])]
+    texts = [" ".join(f"w{(i * 7 + j) % 40}" for j in range(6)) for i in range(30)]
+    assert [encoded(e, [t])[0] for t in texts] == [ids[:-1] for _, ids in brute_ids([(0, t) for t in texts])]
+    mixed = ["", None, "  leading and trailing\t\n", "a\x0bb\x0cc\rd", "\u00a0a\u2003b"]
+    assert encoded(e, mixed) == [ids[:-1] for _, ids in brute_ids([(0, t) for t in mixed])] and encoded(e, []) == []
     assert len(e.known) <= 16
