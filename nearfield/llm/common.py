@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import parts_for, scratch_root  # noqa: F401
@@ -62,14 +62,19 @@ _PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.f
 
 
 class Stash:
-    """A table written to the shared folder: cuts lineage, and outlives any executor; with keep, an open scratch() too."""
+    """A table written to the shared folder: cuts lineage, and outlives any executor; with keep, an open scratch() too.
+    seen has the values of the named aggregates, which are taken of the rows as they are written."""
 
-    def __init__(self, df: DataFrame, label: str, partition_by: str | None = None, codec: str = "zstd", keep: bool = False):
+    def __init__(self, df: DataFrame, label: str, partition_by: str | None = None, codec: str = "zstd", keep: bool = False, **aggregates: Column):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, label)
         self._schema = df.schema
+        seen = Observation() if aggregates else None
+        if seen:
+            df = df.observe(seen, *(c.alias(name) for name, c in aggregates.items()))
         writer = df.write.option("compression", codec).options(**_PLAIN_FILES)
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path)
+        self.seen = seen.get if seen else {}
         if _OPEN and not keep:
             _OPEN[-1].append(self)
 

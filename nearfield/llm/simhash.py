@@ -93,8 +93,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root for each node of edges (u, v with u > v): the smallest node of its component."""
 
     def checked(df: DataFrame) -> tuple[Stash, tuple]:
-        table = Stash(df, "simhash-edges")
-        return table, tuple(table.df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+        table = Stash(df, "simhash-edges", rows=F.count(F.lit(1)), hashes=F.bit_xor(F.xxhash64("u", "v")))
+        return table, (table.seen["rows"], table.seen["hashes"])
 
     now, state = checked(edges)
     while state[0]:
