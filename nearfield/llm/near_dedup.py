@@ -31,10 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILE_ROWS, Held, Stash, numbered_rows, sized, unhot_join
+from .common import FILE_ROWS, Held, Stash, hash_place, numbered_rows, share_for, sized, unhot_join
 from .simhash import components
 
 SHINGLE, ROWS, BANDS, STARS, PIVOTS = 5, 6, 24, 2, 6
+#: The nodes around a component that are compared in pairs, and how many of more nodes are looked at to order differences.
+BUCKET, SAMPLE = 32, 16
+#: How many shared differences a pair is looked for by: more than the five shingles of one changed word.
+MATCHES = 6
 #: The similarity of linked sets, as a fraction.
 NEAR = (4, 5)
 #: Of ROWS * BANDS MinHash values with their lowest four bits, how many may differ in sets that are compared whole.
@@ -123,6 +127,73 @@ def verified(pairs: Stash, sets: DataFrame) -> tuple[DataFrame, Held]:
     return out.select("u", "v", "_of_u", "_of_v").mapInArrow(run, "u long, v long"), whole
 
 
+def _standing(groups: DataFrame) -> DataFrame:
+    """_most, _of (the sets looked at), _items (shingles in two or more of them), _counts: for rows of _most, _some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            for i in range(b.num_rows):
+                some = [np.frombuffer(s.as_py(), np.uint64) for s in b.column(1)[i].values]
+                items, counts = np.unique(np.concatenate(some), return_counts=True)
+                often = counts > 1
+                row = [b.column(0).slice(i, 1), pa.array([len(some)], pa.int64()), *(pa.array([x[often].astype(np.uint64).tobytes()], pa.binary()) for x in (items, counts))]
+                yield pa.RecordBatch.from_arrays(row, ["_most", "_of", "_items", "_counts"])
+
+    return groups.select("_most", "_some").mapInArrow(run, "_most long, _of long, _items binary, _counts binary")
+
+
+def _differences(rows: DataFrame) -> DataFrame:
+    """_most, _node, _n, _root, _off (how many differences a set has), _rare (the first of them, rarest first): for rows of
+    _most, _node, _n, _root, _shingles, _of, _items, _counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            off, rare = [], []
+            for x, of, items, counts in zip(*(b.column(i).to_pylist() for i in range(4, 8))):
+                x, items, counts = (np.frombuffer(s or b"", np.uint64) for s in (x, items, counts))
+                usual = 2 * counts > (of or 0)
+                # A difference is one of a set that has an unusual item or lacks a usual one.
+                seen = np.isin(items, x, assume_unique=True)
+                odd = np.concatenate([np.setdiff1d(x, items, assume_unique=True), items[seen != usual]])
+                held = np.concatenate([np.zeros(len(odd) - (seen != usual).sum(), np.uint64), np.where(usual, np.uint64(of or 0) - counts, counts)[seen != usual]])
+                # Of a near pair, the rarest shared difference is among so many of each.
+                first = np.lexsort((odd, held))[: len(x) * (NEAR[1] - NEAR[0]) // NEAR[0] + 1]
+                off.append(len(odd))
+                rare.append(odd[first].view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(off, pa.int64()), pa.array(rare, pa.list_(pa.int64()))], ["_most", "_node", "_n", "_root", "_off", "_rare"])
+
+    return rows.select("_most", "_node", "_n", "_root", "_shingles", "_of", "_items", "_counts").mapInArrow(run, "_most long, _node long, _n long, _root long, _off long, _rare array<long>")
+
+
+def by_differences(members: DataFrame, sizes: DataFrame, sets: DataFrame, total: int) -> tuple[DataFrame, Held]:
+    """_node, _pivot: what must be compared that all near nodes of a _most, of members (_most, _node, _n, _root), end in one
+    component; and what is held until that is written. sizes has _most, _size."""
+    places = unhot_join(members.select("_most", "_node"), sizes, "_most", "_size", total)
+    looked = places.where(hash_place(F.col("_node")) < share_for(SAMPLE, F.col("_size"))).join(sets, "_node")
+    standing = _standing(looked.groupBy("_most").agg(F.collect_list("_shingles").alias("_some")))
+    standing = Stash(sizes.join(standing, "_most", "left"), "near-standing").df
+    rows = Stash(_differences(unhot_join(members.join(sets, "_node"), standing, "_most", "_size", total)), "near-differences").df
+    # Sets differ by at most so much of both sizes, as a fraction. Without a shared difference they differ by all of both.
+    few, of = NEAR[1] - NEAR[0], NEAR[1] + NEAR[0]
+    spare = F.col("_n") * few - F.col("_off") * of
+    best = rows.groupBy("_most").agg(F.max(F.struct(spare.alias("spare"), "_node", "_root")).alias("_best"))
+    stars = unhot_join(rows, best.join(sizes, "_most"), "_most", "_size", total).where((F.col("_root") != F.col("_best._root")) & (spare + F.col("_best.spare") >= 0))
+    items = Held(rows.select("_most", "_node", "_n", "_root", "_off", F.size("_rare").alias("_first"), F.posexplode("_rare").alias("_at", "_item")))
+    x, y = (items.df.select("_most", "_item", *(F.col(c).alias(c + end) for c in ("_node", "_n", "_root", "_off", "_at", "_first"))) for end in ("_x", "_y"))
+    # Of a near pair's shared differences, at least `common`, the rarest `asked` are among the first off - common + asked of each.
+    common = F.ceil((F.col("_off_x") + F.col("_off_y") - F.floor((F.col("_n_x") + F.col("_n_y")) * few / of)) / 2)
+    asked = F.least(F.lit(MATCHES), common, *(F.col(f"_first_{e}") - F.col(f"_off_{e}") + common for e in "xy"))
+    early = [F.col(f"_at_{e}") < F.col(f"_off_{e}") - common + asked for e in "xy"]
+    fit = (F.col("_node_x") > F.col("_node_y")) & (F.col("_root_x") != F.col("_root_y")) & (common > 0) & early[0] & early[1]
+    shared = x.join(y, ["_most", "_item"]).where(fit).groupBy("_most", "_node_x", "_node_y").agg(F.count(F.lit(1)).alias("_shared"), F.first(asked).alias("_asked"))
+    shared = shared.where("_shared >= _asked").select(F.col("_node_x").alias("_node"), F.col("_node_y").alias("_pivot"))
+    return shared.unionByName(stars.select("_node", F.col("_best._node").alias("_pivot"))), items
+
+
 def roots(nodes: DataFrame, rows: DataFrame, stars: int = STARS) -> DataFrame:
     """node, root: the components of all links among nodes (_node, _n, _best, _bands, _signs) that share a key."""
 
@@ -150,6 +221,7 @@ def roots(nodes: DataFrame, rows: DataFrame, stars: int = STARS) -> DataFrame:
     sets = Stash(_sets(rows.join(named, "_row")), "near-sets").df
     asked = None
     for step in [*range(stars), None]:
+        held, crowds = [], None
         chosen = [F.min_by("_node", F.xxhash64("_node", F.lit(n))) for n in range(PIVOTS if step else 1)]
         of = rooted.groupBy("_key", "_root").agg(F.count(F.lit(1)).alias("_of"), F.array(*chosen).alias("_pivots"))
         most = F.max(F.struct("_of", "_root", "_pivots")).alias("_most")
@@ -162,14 +234,25 @@ def roots(nodes: DataFrame, rows: DataFrame, stars: int = STARS) -> DataFrame:
         elif step is not None:
             rest = rest.select("_node", F.explode("_pivots").alias("_pivot"))
         else:
+            members = Stash(some.select("_most", "_node", "_n", "_root").distinct(), "near-members", rows=F.count(F.lit(1)))
+            held.append(Held(members.df.groupBy("_most").agg(F.count(F.lit(1)).alias("_size"))))
+            sizes = held[0].df
+            crowded = sizes.where(F.col("_size") > BUCKET)
+            if crowded.count():
+                around = unhot_join(members.df, crowded, "_most", "_size", members.seen["rows"]).drop("_size")
+                crowds, kept = by_differences(around, crowded, sets, members.seen["rows"])
+                held.append(kept)
+            some = unhot_join(rooted, mixed.df.join(sizes.where(F.col("_size") <= BUCKET), "_most"), "_key", "_weight", total)
             signed = some.join(nodes.select("_node", "_signs"), "_node")
             other = signed.where("_root <> _most").select("_key", F.col("_node").alias("_pivot"), F.col("_n").alias("_n_x"), F.col("_root").alias("_root_x"), F.col("_signs").alias("_signs_x"))
             like = fit(F.col("_n"), F.col("_n_x")) & (unlike(F.col("_signs"), F.col("_signs_x")) <= UNLIKE)
-            rest = signed.join(other, "_key").where((F.col("_root") != F.col("_root_x")) & like)
+            rest = signed.join(other, "_key").where((F.col("_root") != F.col("_root_x")) & like).select("_node", "_pivot")
+            rest = rest.unionByName(crowds) if crowds is not None else rest
         pairs = rest.select(F.greatest("_node", "_pivot").alias("u"), F.least("_node", "_pivot").alias("v")).distinct()
         pairs = pairs if asked is None else pairs.join(asked, ["u", "v"], "left_anti")
         pairs = Stash(pairs if step is None else sized(pairs, size * len(chosen)), "near-pairs", rows=F.count(F.lit(1)))
-        mixed.drop()
+        for table in (mixed, *held):
+            table.drop()
         if not pairs.seen["rows"]:
             continue
         asked = pairs.df if asked is None else asked.unionByName(pairs.df)

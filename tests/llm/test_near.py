@@ -59,6 +59,42 @@ def test_large_groups_make_few_pairs(documents, monkeypatch):
     assert [r["doc_id"] for r in out.collect()] == [0] and sum(asked) <= 2 * len(rows)
 
 
+def scattered(seed, many, words=150, most=9):
+    """Copies of one text: the first half are near it, the others mostly near no other."""
+    r = random.Random(seed)
+    text = [f"w{r.randint(0, 10**6)}" for _ in range(words)]
+    rows = []
+    for i in range(many):
+        some = list(text)
+        for at in r.sample(range(words), r.randint(0, 3) if 2 * i < many else r.randint(3, most)):
+            some[at] = r.choice(("and", "the", "of", f"n{r.randint(0, 10**6)}"))
+        rows.append((i, " ".join(some)))
+    return rows
+
+
+@pytest.mark.parametrize("bucket", [0, 8])
+@pytest.mark.parametrize("stars", [0, 2])
+def test_crowded_groups_are_those_of_all_pairs(documents, monkeypatch, stars, bucket):
+    """Where nodes are compared by differences, whichever set they are differences of, and by pairs beside it."""
+    monkeypatch.setattr(near_dedup, "BUCKET", bucket)
+    monkeypatch.setattr(near_dedup, "SAMPLE", 1 if bucket else 16)
+    short = [(3000 + i, t) for i, t in scattered(9, 60, words=30, most=4)]
+    rows = scattered(7, 120) + [(1000 + i, t) for i, t in copies(8, 1, 50, changes=9)] + [(2000 + i, t) for i, t in copies(4, 12, 5)] + short
+    want = brute(rows)
+    assert 60 < len(want) < len(rows)
+    out = near_dedup.one_of_each_group(documents(rows), stars=stars)
+    assert {r["doc_id"] for r in out.collect()} == want
+
+
+def test_rows_around_a_large_group_make_few_pairs(documents, monkeypatch):
+    """Pairs grow with the rows, not with those of a group times those near it that aren't in it."""
+    asked, verified = [], near_dedup.verified
+    monkeypatch.setattr(near_dedup, "verified", lambda pairs, sets: asked.append(pairs.seen["rows"]) or verified(pairs, sets))
+    rows = scattered(6, 1500)
+    kept = near_dedup.one_of_each_group(documents(rows)).count()
+    assert 400 < kept < 1000 and sum(asked) <= 20 * len(rows)
+
+
 def test_pipeline_drops_copies_whose_prints_differ(spark, documents):
     rows = copies(3, 15, 2, words=200, changes=3)
     docs = documents(rows)
