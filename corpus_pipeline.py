@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import exact_dedup, near_dedup, packing, quality_model, quality_rules
+from nearfield.llm import exact_dedup, near_dedup, packing, quality_model, quality_rules, simhash
 from nearfield.llm.common import Stash, scratch
 from nearfield.llm.queries import tokenizer_path
 
@@ -29,8 +29,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts with 0.8 of their five-word shingles in common the row with the smallest doc_id stays."""
-    return near_dedup.one_of_each_group(docs)
+    """SimHash links texts whose fingerprints differ in two bits at most; texts with 0.8 of their five-word shingles in
+    common are linked besides. Of each component the row with the smallest doc_id stays."""
+    return near_dedup.one_of_each_group(docs, linked=simhash.simhash_dedup)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

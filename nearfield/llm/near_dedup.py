@@ -12,10 +12,10 @@
 3. Candidates are linked where their whole sets have a similarity of NEAR or more. Of each component of links one row
    stays: of those with the smallest doc_id the first in a numbering of the rows; a null doc_id is larger than all others.
 
-This takes the place of SimHash blocks in the pipeline, which can't find such pairs: the fingerprints of sets of
-similarity 0.8 differ in 15 of 100 bits, so no choice of blocks that they surely share is long enough to tell texts
-apart, and blocks that they share by chance would need about 60 keys of 16 bits a document, each shared by one of
-65 536 unrelated texts.
+Rows that another operator gives one component_id (`linked`, in the pipeline simhash_dedup) are linked to begin with, and
+the above joins what that leaves apart. SimHash alone doesn't find such pairs: the fingerprints of sets of similarity 0.8
+differ in 15 of 100 bits, so no choice of blocks that they surely share is long enough to tell texts apart, and blocks that
+they share by chance would need about 60 keys of 16 bits a document, each shared by one of 65 536 unrelated texts.
 
 Words are split and lower-cased as for SimHash. A text of fewer words than a shingle is one shingle, and texts without a
 word, null ones too, are equal. Verdicts are of rows, whatever doc_id they share. A text's shingles are held in one
@@ -25,7 +25,7 @@ names. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -194,8 +194,17 @@ def by_differences(members: DataFrame, sizes: DataFrame, sets: DataFrame, total:
     return shared.unionByName(stars.select("_node", F.col("_best._node").alias("_pivot"))), items
 
 
-def roots(nodes: DataFrame, rows: DataFrame, stars: int = STARS) -> DataFrame:
-    """node, root: the components of all links among nodes (_node, _n, _best, _bands, _signs) that share a key."""
+def grouped(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, root: the components of nodes (_node, _set) whose rows found (_set, _group) puts in one group."""
+    named = Stash(found.distinct().join(nodes.select("_set", "_node"), "_set").select("_group", "_node"), "near-grouped", rows=F.count(F.lit(1)))
+    least = named.df.groupBy("_group").agg(F.min("_node").alias("_least"), F.count(F.lit(1)).alias("_nodes")).where("_nodes > 1")
+    edges = unhot_join(named.df, least, "_group", "_nodes", named.seen["rows"]).where("_node > _least")
+    return components(sized(edges.select(F.col("_node").alias("u"), F.col("_least").alias("v")).distinct(), named.seen["rows"]))
+
+
+def roots(nodes: DataFrame, rows: DataFrame, stars: int = STARS, start: DataFrame | None = None) -> DataFrame:
+    """node, root: the components of all links among nodes (_node, _n, _best, _bands, _signs) that share a key, and of
+    those of start (node, root)."""
 
     def fit(x: Column, y: Column) -> Column:
         return F.least(x, y) * NEAR[1] >= F.greatest(x, y) * NEAR[0]
@@ -213,8 +222,12 @@ def roots(nodes: DataFrame, rows: DataFrame, stars: int = STARS) -> DataFrame:
     keyed = nodes.select("_node", "_n", F.explode("_bands").alias("_key"))
     sizes = Held(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_nodes")).where("_nodes > 1")).df
     total = BANDS * nodes.count()
-    shared = unhot_join(keyed, sizes, "_key", "_nodes", total)
-    first = Stash(shared.select("_key", "_node", "_n", F.col("_node").alias("_root")), "near-rooted", rows=F.count(F.lit(1)))
+    shared = unhot_join(keyed, sizes, "_key", "_nodes", total).select("_key", "_node", "_n", F.col("_node").alias("_root"))
+    if start is not None:
+        # A component to begin with is a key too, so all of its nodes are here.
+        begun = nodes.select("_node", "_n").join(start.toDF("_node", "_root"), "_node").select(F.xxhash64("_root", F.lit("start")).alias("_key"), "_node", "_n", "_root")
+        shared = shared.drop("_root").join(start.toDF("_node", "_root"), "_node", "left").select("_key", "_node", "_n", F.coalesce("_root", "_node").alias("_root")).unionByName(begun)
+    first = Stash(shared, "near-rooted", rows=F.count(F.lit(1)))
     rooted, size = first.df, first.seen["rows"]
     # The texts of candidates are read once, by the row that stands for a node.
     named = rooted.select("_node").distinct().join(nodes.select("_node", F.col("_best._row").alias("_row")), "_node")
@@ -269,15 +282,20 @@ def roots(nodes: DataFrame, rows: DataFrame, stars: int = STARS) -> DataFrame:
     return rooted.select(F.col("_node").alias("node"), F.col("_root").alias("root")).distinct()
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stars: int = STARS) -> DataFrame:
-    """docs without all but one row of each component, with all columns of docs."""
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stars: int = STARS, linked: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """docs without all but one row of each component, with all columns of docs. linked(rows, id_col, text_col) gives
+    doc_id, component_id and group_size of rows that are linked besides."""
     table, row = numbered_rows(docs, "near-numbered")
     rows = table.select(F.col(row).alias("_row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     signed = Stash(signatures(rows), "near-signatures").df
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_best")
     alike = signed.groupBy("_set").agg(best, F.count(F.lit(1)).alias("_rows"), *(F.first(c).alias(c) for c in ("_n", "_bands", "_signs")))
     nodes = Stash(alike.withColumn("_node", F.monotonically_increasing_id()), "near-nodes").df
-    found = roots(nodes, rows, stars)
+    start = None
+    if linked:
+        groups = linked(rows, "_row", "_text").where("group_size > 1").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+        start = grouped(groups.join(signed.select("_row", "_set"), "_row").select("_set", "_group"), nodes)
+    found = roots(nodes, rows, stars, start)
     rooted = nodes.select("_node", "_set", "_best", "_rows").join(found, nodes["_node"] == found["node"], "left").withColumn("_root", F.coalesce("root", "_node"))
     first = rooted.groupBy("_root").agg(F.min("_best").alias("_first"), F.count(F.lit(1)).alias("_nodes"))
     # Nodes of one row that no other is linked to stay.

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from nearfield.llm import near_dedup
+from nearfield.llm import near_dedup, simhash
 
 
 def near(a, b):
@@ -101,6 +101,21 @@ def test_pipeline_drops_copies_whose_prints_differ(spark, documents):
     assert {r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()} == brute(rows)
 
 
+def test_pipeline_drops_what_simhash_links(spark, documents):
+    """Texts that repeat themselves have one fingerprint, though few of their shingles are in common. Links of both kinds
+    make one component."""
+    r = random.Random(11)
+    new = lambda n: [f"x{r.randint(0, 10**9)}" for _ in range(n)]
+    once, end = "one two three four five six seven ".split(), new(40)
+    texts = {3: once * 40 + new(40), 4: once * 40 + new(30), 5: once * 40 + end, 9: once * 2 + end, 20: new(200), 30: new(200)}
+    rows = [(i, " ".join(t)) for i, t in texts.items()] + [(7, None), (8, " ")]
+    docs, text = documents(rows), dict(rows)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.simhash_dedup(docs).collect()}
+    assert found[3] == found[4] == found[5] != found[9] and near(text[5], text[9])
+    assert not any(near(text[i], text[j]) for i, j in ((3, 4), (3, 5), (3, 9), (4, 5), (4, 9)))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()) == [3, 7, 20, 30]
+
+
 def test_rows_without_enough_words_or_with_one_id(documents):
     rows = [(1, None), (2, " "), (3, "a b"), (4, "A  b"), (5, "b a"), (9, "one text of five words or more"), (9, "a b"), (None, "nobody else has this text here"), (None, "")]
     got = near_dedup.one_of_each_group(documents(rows)).select("doc_id", "text").collect()
