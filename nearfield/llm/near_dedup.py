@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILE_ROWS, Held, Stash, hash_place, numbered_rows, share_for, sized, unhot_join
+from .common import FILE_ROWS, Held, Stash, hash_place, numbered_rows, scratch, share_for, sized, unhot_join
 from .simhash import components
 
 SHINGLE, ROWS, BANDS, STARS, PIVOTS = 5, 6, 24, 2, 6
@@ -220,14 +220,15 @@ def roots(nodes: DataFrame, rows: DataFrame, stars: int = STARS, start: DataFram
         return out
 
     keyed = nodes.select("_node", "_n", F.explode("_bands").alias("_key"))
-    sizes = Held(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_nodes")).where("_nodes > 1")).df
+    keys = Held(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_nodes")).where("_nodes > 1"))
     total = BANDS * nodes.count()
-    shared = unhot_join(keyed, sizes, "_key", "_nodes", total).select("_key", "_node", "_n", F.col("_node").alias("_root"))
+    shared = unhot_join(keyed, keys.df, "_key", "_nodes", total).select("_key", "_node", "_n", F.col("_node").alias("_root"))
     if start is not None:
         # A component to begin with is a key too, so all of its nodes are here.
         begun = nodes.select("_node", "_n").join(start.toDF("_node", "_root"), "_node").select(F.xxhash64("_root", F.lit("start")).alias("_key"), "_node", "_n", "_root")
         shared = shared.drop("_root").join(start.toDF("_node", "_root"), "_node", "left").select("_key", "_node", "_n", F.coalesce("_root", "_node").alias("_root")).unionByName(begun)
     first = Stash(shared, "near-rooted", rows=F.count(F.lit(1)))
+    keys.drop()
     rooted, size = first.df, first.seen["rows"]
     # The texts of candidates are read once, by the row that stands for a node.
     named = rooted.select("_node").distinct().join(nodes.select("_node", F.col("_best._row").alias("_row")), "_node")
@@ -293,8 +294,12 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     nodes = Stash(alike.withColumn("_node", F.monotonically_increasing_id()), "near-nodes").df
     start = None
     if linked:
-        groups = linked(rows, "_row", "_text").where("group_size > 1").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
-        start = grouped(groups.join(signed.select("_row", "_set"), "_row").select("_set", "_group"), nodes)
+        # What linked leaves goes at once: held tables weigh on the driver in all that follows.
+        with scratch():
+            groups = linked(rows, "_row", "_text").where("group_size > 1").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+            groups = Stash(groups, "near-groups", keep=True)
+        start = grouped(groups.df.join(signed.select("_row", "_set"), "_row").select("_set", "_group"), nodes)
+        groups.drop()
     found = roots(nodes, rows, stars, start)
     rooted = nodes.select("_node", "_set", "_best", "_rows").join(found, nodes["_node"] == found["node"], "left").withColumn("_root", F.coalesce("root", "_node"))
     first = rooted.groupBy("_root").agg(F.min("_best").alias("_first"), F.count(F.lit(1)).alias("_nodes"))
