@@ -50,6 +50,14 @@ def scratch() -> Iterator[None]:
     finally:
         for table in _OPEN.pop():
             table.drop()
+        tidy()
+
+
+def tidy() -> None:
+    """Has the driver drop what nothing holds any more. Spark takes broadcasts, shuffles and generated classes back only
+    when its JVM collects garbage, which by itself comes late: after dozens of small plans they are most of its memory."""
+    if spark := SparkSession.getActiveSession():
+        spark._jvm.System.gc()
 
 
 def new_path(spark: SparkSession, label: str) -> str:

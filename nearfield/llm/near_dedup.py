@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILE_ROWS, Held, Stash, hash_place, numbered_rows, scratch, share_for, sized, unhot_join
+from .common import FILE_ROWS, Held, Stash, hash_place, numbered_rows, scratch, share_for, sized, tidy, unhot_join
 from .simhash import components
 
 SHINGLE, ROWS, BANDS, STARS, PIVOTS = 5, 6, 24, 2, 6
@@ -267,6 +267,7 @@ def roots(nodes: DataFrame, rows: DataFrame, stars: int = STARS, start: DataFram
         pairs = Stash(pairs if step is None else sized(pairs, size * len(chosen)), "near-pairs", rows=F.count(F.lit(1)))
         for table in (mixed, *held):
             table.drop()
+        tidy()
         if not pairs.seen["rows"]:
             continue
         asked = pairs.df if asked is None else asked.unionByName(pairs.df)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Held, Stash, numbered_rows, sized, stash, unhot_join
+from .common import Held, Stash, numbered_rows, sized, stash, tidy, unhot_join
 
 SHINGLE, BLOCKS, DISTANCE, BUCKET = 3, 4, 2, 32
 
@@ -108,6 +108,7 @@ def components(edges: DataFrame) -> DataFrame:
         after, found = checked(sized(small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u > v").distinct(), 2 * state[0]))
         step.drop()
         now.drop()
+        tidy()
         now, (state, before) = after, (found, state)
         if state == before:
             break
