@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
+from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -60,6 +62,53 @@ def tidy() -> None:
         spark._jvm.System.gc()
 
 
+#: Seconds that a Python worker keeps what it made for one operator without a task of that operator.
+LINGER = 2.0
+
+#: What this worker keeps: the value, the tasks that use it, and the timer that lets it go.
+_KEPT: dict[tuple, list] = {}
+_KEPT_LOCK = threading.Lock()
+
+
+@contextmanager
+def lingering(make: Callable, *how: Any) -> Iterator[Any]:
+    """make(*how), which tasks that follow each other in a Python worker share. Workers serve an application to its end,
+    so what no task has used for LINGER seconds goes: else its memory stands beside all that other operators need."""
+    key = (make, *how)
+    with _KEPT_LOCK:
+        if key not in _KEPT:
+            _KEPT[key] = [make(*how), 0, None]
+        kept = _KEPT[key]
+        kept[1] += 1
+        if kept[2]:
+            kept[2].cancel()
+    try:
+        yield kept[0]
+    finally:
+        with _KEPT_LOCK:
+            kept[1] -= 1
+            if not kept[1]:
+                kept[2] = threading.Timer(LINGER, _let_go, [key])
+                kept[2].daemon = True
+                kept[2].start()
+
+
+def _let_go(key: tuple) -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    with _KEPT_LOCK:
+        if key not in _KEPT or _KEPT[key][1]:
+            return
+        del _KEPT[key]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # of glibc alone
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/nearfield/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stash, hash_place, let, parts_for
+from .common import Stash, hash_place, let, lingering, parts_for
 
 SEQUENCE, END_ID = 4096, 2
 DIMENSIONS, BITS, BUCKETS = 4, 10, 256
@@ -38,7 +38,6 @@ SLICE_ROWS, SLICE_BYTES = 2500, 8 << 20
 REMEMBERED = 400_000
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str):
     import os
 
@@ -171,12 +170,6 @@ class WordEncoder:
         return flat[np.arange(upto[-1]) + np.repeat(first[which] - upto[:-1], many)], np.diff(upto[ends])
 
 
-@lru_cache(maxsize=1)
-def _encoder(path: str, kind: str) -> WordEncoder:
-    """One of a worker: tasks that follow in it know the words of those before."""
-    return WordEncoder(path, kind)
-
-
 def hilbert(cells, bits: int = BITS):
     """The place on the Hilbert curve of each row of cells, whose columns are the axes (Skilling's transform)."""
     import numpy as np
@@ -221,12 +214,16 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 def tokenised(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, key, n_tokens, ids (4 bytes each, little-endian; 2 where the vocabulary allows)."""
+    kind = _width(tokenizer, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One of a worker: tasks that follow in it know the words of those before.
+        with lingering(WordEncoder, tokenizer, kind) as encode:
+            yield from encoded(batches, encode)
+
+    def encoded(batches: Iterator[pa.RecordBatch], encode: WordEncoder) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        kind = _width(tokenizer, end_id)
-        encode = _encoder(tokenizer, kind)
         axes = np.random.default_rng(0).standard_normal((BUCKETS, DIMENSIONS))
         for b in batches:
             texts = b.column(1)
@@ -355,5 +352,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     return parted.repartition(n, "part").sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids", "part").mapInArrow(run, schema)
 
 
+@lru_cache(maxsize=2)
 def _width(tokenizer: str, end_id: int) -> str:
     return "<u2" if max(_tokenizer(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"

@@ -295,3 +295,23 @@ def test_words_are_forgotten_and_learned_again():
     mixed = ["", None, "  leading and trailing\t\n", "a\x0bb\x0cc\rd", "\u00a0a\u2003b"]
     assert encoded(e, mixed) == [ids[:-1] for _, ids in brute_ids([(0, t) for t in mixed])] and encoded(e, []) == []
     assert len(e.known) <= 16
+
+
+def test_an_idle_worker_forgets_the_words_of_packing(spark, documents):
+    """Workers go on to serve other operators, beside whose memory the words stood."""
+    from time import sleep
+
+    def held(batches):
+        import gc
+
+        n = sum(isinstance(x, packing.WordEncoder) for x in gc.get_objects())
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    assert packing.pack(documents([(i, f"some words {i}") for i in range(50)]), WORDS).count() >= 50
+    for _ in range(10):
+        sleep(2)
+        left = sum(r["n"] for r in spark.range(8, numPartitions=8).mapInArrow(held, "n long").collect())
+        if not left:
+            break
+    assert left == 0
