@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from nearfield.facade import NearestNeighbors
 from nearfield.functions.hashing import model_of
+from nearfield.functions.similarity import SparseScan
 from nearfield.mapping import CosineLsh, HammingLsh, JaccardLsh, L2Lsh, PermutationLsh
 from nearfield.operators import approximate as a
 from nearfield.operators import exact
-from nearfield.operators.blocks import Best
+from nearfield.operators.blocks import Best, SparseBlock
 from nearfield.sources.readers import from_numpy
 from nearfield.vectors import Similarity
 
@@ -118,3 +119,27 @@ def test_a_task_holds_few_queries(spark, monkeypatch):
     assert shares == 1 and most <= 60 and all_of_them == 1000
     best = Best(1000, 10, np.int64)
     assert best.value.nbytes + best.ids.nbytes + best.more.nbytes == 1000 * 10 * 24
+
+
+def test_recall_report_joins_once(spark):
+    """Its plan has each of both joins of blocks once."""
+    from nearfield import queries
+
+    assert plan_of(queries.QUERIES["recall_report"](spark, "/root/testdata/sf0.001")).count("CartesianProduct") == 2
+
+
+@pytest.mark.parametrize("heavy", [0, 7, 512])
+def test_wide_blocks_with_frequent_indices(monkeypatch, heavy):
+    """Indices that many rows have are multiplied, others counted; together they are all."""
+    monkeypatch.setattr(SparseScan, "HEAVY", heavy)
+    r = np.random.default_rng(9)
+    sets = [sorted({int(v) for v in r.zipf(1.3, 60) if v < 100_000}) for _ in range(300)]
+    block = lambda of: SparseBlock(np.full(len(of), 1 << 30, np.int32), np.array([len(x) for x in of], np.int32), np.array([v for x in of for v in x], np.int32))
+    asked, scan = block(sets[:40]), SparseScan(Similarity.JACCARD, block(sets), 4096)
+    assert scan.bits is None and len(scan.heavy) <= heavy
+    want = np.array([[len({*x} & {*y}) for y in sets] for x in sets[:40]])
+    assert (scan._common(asked) == want).all()
+    scores = np.array([[len({*x} & {*y}) / max(1, len({*x} | {*y})) for y in sets] for x in sets[:40]])
+    assert scan.near(asked, np.sort(scores, axis=1)[:, -5])[scores >= np.sort(scores, axis=1)[:, -5:-4]].all()
+    which, some = np.divmod(np.arange(40 * 300), 300)
+    assert scan.scores(asked, which, some) == pytest.approx(scores.ravel())
